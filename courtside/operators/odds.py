@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +15,8 @@ SIDES = {"hm": "home_odds", "aw": "away_odds"}
 
 
 def house_column(house: str, side: str) -> str:
-    return f"{house.lower()}_{side}_odds"
+    """Quoted: some names start with a digit."""
+    return f"`{house.lower()}_{side}_odds`"
 
 
 def odds_for_events(odds: DataFrame, events: DataFrame) -> DataFrame:
@@ -31,7 +29,7 @@ def odds_pivot(odds: DataFrame) -> DataFrame:
     """One row per event. Explicit max-if columns keep it to one shuffle, with rows
     combined per event before it; a repeated house takes its highest price."""
     prices = [
-        F.max(F.when(F.col("betting_house") == house, F.col(price))).alias(house_column(house, side))
+        F.expr(f"max(if(betting_house = '{house}', {price}, null)) as {house_column(house, side)}")
         for house in HOUSES
         for side, price in SIDES.items()
     ]
@@ -39,14 +37,13 @@ def odds_pivot(odds: DataFrame) -> DataFrame:
 
 
 def _consensus(side: str) -> Column:
-    others = [F.col(house_column(h, side)) for h in HOUSES if h != LEAD_HOUSE]
-    total = reduce(add, [F.coalesce(price, F.lit(0).cast("decimal(1,0)")) for price in others])
-    count = reduce(add, [F.when(price.isNotNull(), 1).otherwise(0) for price in others])
-    mean = F.round(total / F.nullif(count, F.lit(0)), 2)
-    return F.coalesce(F.col(house_column(LEAD_HOUSE, side)), mean)
+    others = [house_column(h, side) for h in HOUSES if h != LEAD_HOUSE]
+    total = " + ".join(f"coalesce({price}, 0)" for price in others)
+    count = " + ".join(f"if({price} is null, 0, 1)" for price in others)
+    return F.expr(f"coalesce({house_column(LEAD_HOUSE, side)}, round(({total}) / nullif({count}, 0), 2))")
 
 
 def odds_consensus(pivot: DataFrame) -> DataFrame:
     """Adds the lead house's price, else the mean of the other houses to 2 digits,
-    else null."""
+    else null. Exact decimals throughout."""
     return pivot.withColumns({price: _consensus(side) for side, price in SIDES.items()})

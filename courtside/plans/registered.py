@@ -21,6 +21,7 @@ from courtside.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = derived.AS_OF
+_star = derived.StarTables
 QUERIES: dict[str, Query] = {}
 
 
@@ -40,21 +41,22 @@ def _loaded_at() -> Column:
 
 
 def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.full_mart(derived.match_tables(spark, sf_dir), AS_OF, _loaded_at())
+    return jobs.full_mart(_star(spark, sf_dir).match_tables(), AS_OF, _loaded_at())
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label columns only: what the counts and choices read."""
-    return mart.match_labels(derived.fixtures_for_today(spark, sf_dir), derived.tournaments(spark, sf_dir))
+    star = _star(spark, sf_dir)
+    return mart.match_labels(star.fixtures, star.tournaments)
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.analysis(spark, sf_dir)
+    return _star(spark, sf_dir).analysis
 
 
 def _countable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    universe = players.player_universe(derived.fixtures_for_today(spark, sf_dir))
-    return players.countable_matches(derived.fixtures_results(spark, sf_dir), universe, AS_OF)
+    star = _star(spark, sf_dir)
+    return players.countable_matches(star.results, players.player_universe(star.fixtures), AS_OF)
 
 
 # Records
@@ -62,12 +64,12 @@ def _countable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def player_universe(spark, sf_dir):
-    return players.player_universe(derived.fixtures_for_today(spark, sf_dir))
+    return players.player_universe(_star(spark, sf_dir).fixtures)
 
 
 @_register
 def player_pairs(spark, sf_dir):
-    return players.player_pairs(derived.fixtures_for_today(spark, sf_dir))
+    return players.player_pairs(_star(spark, sf_dir).fixtures)
 
 
 @_register
@@ -84,17 +86,17 @@ def player_match_rows(spark, sf_dir):
 
 @_register
 def records_by_surface(spark, sf_dir):
-    return jobs.player_records(derived.match_tables(spark, sf_dir), AS_OF)[0]
+    return jobs.player_records(_star(spark, sf_dir).match_tables(), AS_OF)[0]
 
 
 @_register
 def records_all(spark, sf_dir):
-    return jobs.player_records(derived.match_tables(spark, sf_dir), AS_OF)[1]
+    return jobs.player_records(_star(spark, sf_dir).match_tables(), AS_OF)[1]
 
 
 @_register
 def h2h_pairs(spark, sf_dir):
-    return h2h.h2h_pairs(derived.h2h_for_today(spark, sf_dir))
+    return h2h.h2h_pairs(_star(spark, sf_dir).h2h)
 
 
 # Odds and mart
@@ -102,12 +104,12 @@ def h2h_pairs(spark, sf_dir):
 
 @_register
 def odds_pivot(spark, sf_dir):
-    return odds.odds_pivot(derived.odds_for_today(spark, sf_dir))
+    return odds.odds_pivot(_star(spark, sf_dir).odds)
 
 
 @_register
 def odds_consensus(spark, sf_dir):
-    pivot = odds.odds_pivot(derived.odds_for_today(spark, sf_dir))
+    pivot = odds.odds_pivot(_star(spark, sf_dir).odds)
     return odds.odds_consensus(pivot).select("event_key", "home_odds", "away_odds")
 
 
@@ -261,12 +263,14 @@ def bet_profit_per_model(spark, sf_dir):
 
 @_register
 def history_update(spark, sf_dir):
-    return history.update_history(derived.full_analysis_hist(spark, sf_dir), _analysis(spark, sf_dir), AS_OF)
+    star = _star(spark, sf_dir)
+    return history.update_history(star.history, star.analysis, AS_OF)
 
 
 @_register
 def history_delete(spark, sf_dir):
-    return history.drop_replaced_dates(derived.full_analysis_hist(spark, sf_dir), _analysis(spark, sf_dir), AS_OF)
+    star = _star(spark, sf_dir)
+    return history.drop_replaced_dates(star.history, star.analysis, AS_OF)
 
 
 @_register
@@ -281,7 +285,8 @@ def history_initial(spark, sf_dir):
 
 @_register
 def history_merged(spark, sf_dir):
-    return history.merge_history(derived.full_analysis_hist(spark, sf_dir), _analysis(spark, sf_dir), AS_OF)
+    star = _star(spark, sf_dir)
+    return history.merge_history(star.history, star.analysis, AS_OF)
 
 
 # Loads
@@ -289,19 +294,19 @@ def history_merged(spark, sf_dir):
 
 @_register
 def max_event_date(spark, sf_dir):
-    return tables.max_event_date(derived.fixtures_results(spark, sf_dir))
+    return tables.max_event_date(_star(spark, sf_dir).results)
 
 
 @_register
 def load_ranges(spark, sf_dir):
-    high_water = tables.max_event_date(derived.fixtures_results(spark, sf_dir))
+    high_water = tables.max_event_date(_star(spark, sf_dir).results)
     return incremental.load_ranges(high_water, AS_OF, utc_hour=9)
 
 
 @_register
 def range_replace(spark, sf_dir):
     """The month up to the run day comes anew, with retired matches only."""
-    current = derived.fixtures_results(spark, sf_dir)
+    current = _star(spark, sf_dir).results
     start = AS_OF - dt.timedelta(days=30)
     pulled = current.filter(F.col("event_day").between(F.lit(start), F.lit(AS_OF)) & (F.col("event_status") == "Retired"))
     merged = tables.replace_range(current, pulled, start, AS_OF)
@@ -310,17 +315,17 @@ def range_replace(spark, sf_dir):
 
 @_register
 def constants_latest(spark, sf_dir):
-    return constants.latest_constants(derived.constants_log(spark, sf_dir)).drop("inserted_at")
+    return constants.latest_constants(_star(spark, sf_dir).constants).drop("inserted_at")
 
 
 @_register
 def constants_profiles(spark, sf_dir):
-    return constants.profile_names(derived.constants_log(spark, sf_dir)).select("nombre_constante")
+    return constants.profile_names(_star(spark, sf_dir).constants).select("nombre_constante")
 
 
 @_register
 def sql_with_params(spark, sf_dir):
-    derived.fixtures_results(spark, sf_dir).createOrReplaceTempView("courtside_fixtures_results")
+    _star(spark, sf_dir).results.createOrReplaceTempView("courtside_fixtures_results")
     return tables.run_sql(
         spark,
         "select event_status, count(*) as downloads, max(event_date) as last_date "
@@ -348,7 +353,7 @@ def tsv_rows(spark, sf_dir):
 @_register
 def display_formats(spark, sf_dir):
     price = F.col("o_totalprice")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    return _star(spark, sf_dir).star("orders").select(
         "o_orderkey",
         formats.spanish_number(price).alias("spanish"),
         formats.spanish_percent(price / 1000).alias("spanish_share"),
@@ -371,7 +376,7 @@ def _texts(df: DataFrame, **changes: Column) -> Column:
 
 
 def _feed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.matches(spark, sf_dir)
+    rows = _star(spark, sf_dir).matches
     return rows.select(*filters.present(rows, schemas.MATCH_FIELDS + schemas.LOGO_FIELDS))
 
 
@@ -393,13 +398,13 @@ def h2h_json_flatten(spark, sf_dir):
 
 @_register
 def tournaments_json_flatten(spark, sf_dir):
-    rows = derived.tournaments(spark, sf_dir).withColumn("event_type_key", F.lit("n/a"))
+    rows = _star(spark, sf_dir).tournaments.withColumn("event_type_key", F.lit("n/a"))
     return landed.flatten_tournaments(rows.select(F.to_json(F.array(_texts(rows))).alias("result")))
 
 
 @_register
 def standings_union(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    rows = _star(spark, sf_dir).star("customer").select(
         F.col("c_custkey").alias("place"), F.col("c_name").alias("player"),
         F.concat(F.col("c_custkey").cast("string"), F.lit(".0")).alias("player_key"),
         F.col("c_mktsegment").alias("league"), F.floor("c_acctbal").alias("points"),
@@ -415,7 +420,7 @@ def standings_union(spark, sf_dir):
 def odds_json_flatten(spark, sf_dir):
     """A response per price: some lack the away side, some have it blank, and all carry
     another market of another shape."""
-    rows = derived.odds_for_today(spark, sf_dir)
+    rows = _star(spark, sf_dir).odds
     away = F.when(F.col("away_odds") > 1.05, F.col("away_odds").cast("string")).when(F.col("home_odds") > 1.05, "")
     home_away = F.struct(
         F.create_map("betting_house", F.col("home_odds").cast("string")).alias("Home"),
@@ -436,5 +441,5 @@ def id_coercion(spark, sf_dir):
         .when(F.col("o_orderkey") % 6 == 3, F.concat(key, F.lit("x")))
         .when(F.col("o_orderkey") % 6 == 4, "")
     )
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = _star(spark, sf_dir).star("orders")
     return rows.select("o_orderkey", numbers.to_id(text).alias("id"))

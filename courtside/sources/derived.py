@@ -7,182 +7,165 @@ keep the date as a plain column expression, so date filters reach the parquet sc
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from courtside.functions import labels
 from courtside.plans.jobs import MatchTables
 
 AS_OF = dt.date(1998, 5, 14)
-PRICE = "decimal(10,2)"
 
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _pick(selector: Column, *values: str | None) -> Column:
-    """values[selector]; null beyond the list."""
-    return F.try_element_at(F.array(*[F.lit(v) for v in values]), (selector + 1).cast("int"))
-
-
-def _player(key: str) -> Column:
-    return F.concat(F.lit("Player#"), F.col(key).cast("string"))
-
-
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One match per order; opponents come from the customer's block of eight."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    base = _read(spark, sf_dir, "orders").select(
-        key.alias("event_key"),
-        F.col("o_orderdate").cast("date").alias("event_day"),
-        customer.alias("first_player_key"),
-        customer.bitwiseXOR(key % 8).alias("second_player_key"),
-        F.when(F.col("o_orderstatus") == "F", "First Player")
-        .when(F.col("o_orderstatus") == "O", "Second Player").alias("event_winner"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "Finished")
-        .when(F.col("o_orderpriority") == "2-HIGH", "Retired")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "Set 2")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "Walk Over")
-        .otherwise(_pick(key % 3, "Cancelled", "Interrupted", "")).alias("event_status"),
-        _pick(key % 7, "Atp Singles", "Wta Singles", "Challenger Men Singles", "Challenger Women - Doubles",
-              "Exhibition Men", "Itf Men Doubles").alias("event_type_type"),
-        (key % 27).alias("tournament_key"),
-    )
-    return base.select(
-        "event_key", "event_day", F.col("event_day").cast("string").alias("event_date"),
-        F.concat(F.lpad((F.col("event_key") % 12 + 8).cast("string"), 2, "0"), F.lit(":00")).alias("event_time"),
-        _player("first_player_key").alias("event_first_player"), "first_player_key",
-        _player("second_player_key").alias("event_second_player"), "second_player_key",
-        F.when(F.col("event_key") % 4 != 0, F.concat(F.lit("http://img/"), "first_player_key"))
-        .alias("event_first_player_logo"),
-        F.when(F.col("event_key") % 5 != 0, F.concat(F.lit("http://img/"), "second_player_key"))
-        .alias("event_second_player_logo"),
-        F.concat((F.col("event_key") % 3).cast("string"), F.lit(" - "), (F.col("event_key") % 2).cast("string"))
-        .alias("event_final_result"),
-        "event_winner", "event_status", "event_type_type",
-        F.concat(F.lit("Tournament#"), F.col("tournament_key").cast("string")).alias("tournament_name"),
-        "tournament_key",
-        F.year("event_day").cast("string").alias("tournament_season"),
-    )
-
-
-def _download(number: int) -> Column:
-    return F.timestamp_seconds(F.lit(895_000_000 + number * 86_400))
-
-
-def fixtures_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All downloads, made in one pass over the orders. Retired matches come again with
-    the winner corrected, running ones as finished."""
-    first = matches(spark, sf_dir)
-    repeats = F.col("event_status").isin("Retired", "Set 2")
-    copies = first.withColumn("copy", F.explode(F.when(repeats, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    later = F.col("copy") == 2
-    flipped = F.when(F.col("event_winner") == "First Player", "Second Player").otherwise("First Player")
-    return copies.withColumns({
-        "event_winner": F.when(later, flipped).otherwise(F.col("event_winner")),
-        "event_status": F.when(later & (F.col("event_status") == "Set 2"), "Finished").otherwise(F.col("event_status")),
-        "download_time": F.when(later, _download(2)).otherwise(_download(1)),
-    }).drop("copy")
-
-
-def fixtures_for_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches from the day before the run day on."""
-    return matches(spark, sf_dir).filter(F.col("event_day") >= F.lit(AS_OF - dt.timedelta(days=1)))
-
-
-def h2h_for_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir).withColumn("download_time", _download(1))
-
-
-def tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("tournament_key"),
-        F.col("n_name").alias("tournament_name"),
-        _pick(F.col("n_regionkey"), "Hard", "clay", "Hard (Indoor)", "").alias("tournament_sourface"),
-    )
-
-
-def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with a balance below zero are unranked."""
-    ranked = _read(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
-    return ranked.select(
-        F.col("c_custkey").alias("player_key"), F.floor("c_acctbal").cast("string").alias("points")
-    )
+# Given up front, so that opening a table starts no job.
+_STAR = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_discount double, l_tax double",
+    "customer": "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey bigint, p_brand string, p_size int, p_retailprice double",
+}
+
+_MATCH = [
+    "o_orderkey as event_key",
+    "cast(o_orderdate as date) as event_day",
+    "cast(cast(o_orderdate as date) as string) as event_date",
+    "concat(lpad(cast(8 + o_orderkey % 12 as string), 2, '0'), ':00') as event_time",
+    "concat('Player#', o_custkey) as event_first_player",
+    "o_custkey as first_player_key",
+    "concat('Player#', o_custkey ^ (o_orderkey % 8)) as event_second_player",
+    "o_custkey ^ (o_orderkey % 8) as second_player_key",
+    "if(o_orderkey % 4 <> 0, concat('http://img/', o_custkey), null) as event_first_player_logo",
+    "if(o_orderkey % 5 <> 0, concat('http://img/', o_custkey ^ (o_orderkey % 8)), null) as event_second_player_logo",
+    "concat(o_orderkey % 3, ' - ', o_orderkey % 2) as event_final_result",
+    "case o_orderstatus when 'F' then 'First Player' when 'O' then 'Second Player' end as event_winner",
+    """case o_orderpriority when '1-URGENT' then 'Finished' when '2-HIGH' then 'Retired' when '3-MEDIUM' then 'Set 2'
+         when '4-NOT SPECIFIED' then 'Walk Over'
+         else elt(cast(o_orderkey % 3 + 1 as int), 'Cancelled', 'Interrupted', '') end as event_status""",
+    """case o_orderkey % 7 when 0 then 'Atp Singles' when 1 then 'Wta Singles' when 2 then 'Challenger Men Singles'
+         when 3 then 'Challenger Women - Doubles' when 4 then 'Exhibition Men' when 5 then 'Itf Men Doubles' end
+         as event_type_type""",
+    "concat('Tournament#', o_orderkey % 27) as tournament_name",
+    "o_orderkey % 27 as tournament_key",
+    "cast(year(o_orderdate) as string) as tournament_season",
+]
 
 
-def odds_for_today(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One price per line item; repeated houses per event and an unknown house occur."""
-    return _read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("event_key"),
-        _pick(F.col("l_suppkey") % 15, "10Bet", "188bet", "1xBet", "888Sport", "bet365", "Betano", "Betfair",
-              "Marathon", "Pncl", "Sbo", "Superbet", "Unibet", "WilliamHill", "OtherBook", "bet365")
-        .alias("betting_house"),
-        (F.col("l_discount") * 10 + 1).cast(PRICE).alias("home_odds"),
-        (F.col("l_tax") * 10 + 1).cast(PRICE).alias("away_odds"),
+def _cons_pick(every: int) -> str:
+    """No bet, a name in neither corner, or either player."""
+    return (
+        f"case when event_key % {every} = 0 then 'Sin apuesta' when event_key % 13 = 12 then 'Player#?'"
+        f" when event_key % {every} = 1 then event_first_player else event_second_player end as jugador_a_apostar_cons"
     )
 
 
-def match_tables(spark: SparkSession, sf_dir: str) -> MatchTables:
-    return MatchTables(*[
-        build(spark, sf_dir)
-        for build in (fixtures_results, fixtures_for_today, h2h_for_today, tournaments, standings, odds_for_today)
-    ])
-
-
-def _bets(rows: DataFrame, cons_every: int) -> DataFrame:
-    """Picks and stakes: no bet, either player, nobody known, and a missing pick all occur."""
-    key, first, second = F.col("event_key"), F.col("event_first_player"), F.col("event_second_player")
-    return rows.withColumns({
-        "jugador_a_apostar_cons": F.when(key % cons_every == 0, labels.NO_BET)
-        .when(key % 13 == 12, "Player#?").when(key % cons_every == 1, first).otherwise(second),
-        "jugador_a_apostar_vb": F.when(key % 5 == 0, labels.NO_BET).when(key % 5 == 1, second).when(key % 5 != 2, first),
-        "monto_apuesta_cons": (key % 20).cast(PRICE),
-        "monto_apuesta_vb": (key % 30).cast(PRICE),
-        "result_bet": F.lit(None).cast("string"),
-        "profit_loss_vb": F.lit(None).cast("decimal(12,2)"),
-        "profit_loss_cons": F.lit(None).cast("decimal(12,2)"),
-        "flag_low_bet_value": _pick(key % 12, "true", "t", "1", "1.0", " YES ", "false", "f", "0", "0.5", "no", "maybe"),
-    })
-
-
-_BET_COLUMNS = [
-    "event_key", "event_date", "event_first_player", "event_second_player", "event_winner", "tournament_name",
-    "p1_odds", "p2_odds", "jugador_a_apostar_cons", "jugador_a_apostar_vb",
-    "monto_apuesta_cons", "monto_apuesta_vb", "result_bet", "profit_loss_vb", "profit_loss_cons",
-    "flag_low_bet_value",
-]
-
-
-def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures_for_today(spark, sf_dir).withColumns({
-        "event_winner": labels.winner_label(F.col("event_winner")),
-        "p1_odds": (F.col("event_key") % 9 + 1).cast(PRICE),
-        "p2_odds": (F.col("event_key") % 7 + 1).cast(PRICE),
-    })
-    return _bets(rows, 3).select(*_BET_COLUMNS)
-
-
-def full_analysis_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bets on all typed matches, none settled."""
-    rows = matches(spark, sf_dir).filter(F.col("event_type_type").isNotNull()).withColumns({
-        "event_winner": F.lit(None).cast("string"),
-        "p1_odds": F.lit(2).cast(PRICE), "p2_odds": F.lit(2).cast(PRICE),
-    })
-    return _bets(rows, 4).select(*_BET_COLUMNS)
-
-
-def constants_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log row per part: profiles by brand, small parts under ``default``."""
-    size, price = F.col("p_size"), F.col("p_retailprice")
-    return _read(spark, sf_dir, "part").select(
-        F.when(size < 5, "default").otherwise(F.col("p_brand")).alias("nombre_constante"),
-        *[(size + i).cast("smallint").alias(f"c_0{i}") for i in range(1, 5)],
-        price.cast("float").alias("c_05"),
-        *[(price / i).cast("float").alias(f"p_0{i}") for i in range(1, 5)],
-        (price / 8).cast("float").alias("pma_vb"),
-        (price / 16).cast("float").alias("pma_cons"),
-        F.when(size % 3 != 0, size).cast("smallint").alias("pm"),
-        F.timestamp_seconds(F.col("p_partkey") * 60).alias("inserted_at"),
-    )
+class StarTables:
+    """The derived tables of one test-data directory."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def star(self, table: str) -> DataFrame:
+        return self.spark.read.schema(_STAR[table]).parquet(f"{self.sf_dir}/{table}.parquet")
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        """One match per order; opponents come from the customer's block of eight."""
+        return self.star("orders").selectExpr(*_MATCH)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """All downloads, made in one pass over the orders. Retired matches come again
+        with the winner corrected, running ones as finished."""
+        copies = self.matches.selectExpr(
+            "*", "explode(if(event_status in ('Retired', 'Set 2'), array(1, 2), array(1))) as copy"
+        )
+        replaced = {
+            "event_winner": "if(copy = 1, event_winner,"
+                            " if(event_winner = 'First Player', 'Second Player', 'First Player'))",
+            "event_status": "if(copy = 2 and event_status = 'Set 2', 'Finished', event_status)",
+        }
+        return copies.selectExpr(
+            *[f"{replaced[c]} as {c}" if c in replaced else c for c in self.matches.columns],
+            "timestamp_seconds(895000000 + copy * 86400) as download_time",
+        )
+
+    @cached_property
+    def fixtures(self) -> DataFrame:
+        """Matches from the day before the run day on."""
+        return self.matches.filter(f"event_day >= date '{AS_OF - dt.timedelta(days=1)}'")
+
+    @cached_property
+    def h2h(self) -> DataFrame:
+        return self.matches.selectExpr("*", "timestamp_seconds(895000000) as download_time")
+
+    @cached_property
+    def tournaments(self) -> DataFrame:
+        return self.star("nation").selectExpr(
+            "cast(n_nationkey as bigint) as tournament_key", "n_name as tournament_name",
+            "case n_regionkey when 0 then 'Hard' when 1 then 'clay' when 2 then 'Hard (Indoor)' when 3 then '' end"
+            " as tournament_sourface",
+        )
+
+    @cached_property
+    def standings(self) -> DataFrame:
+        """Customers with a balance below zero are unranked."""
+        ranked = self.star("customer").filter("c_acctbal >= 0")
+        return ranked.selectExpr("c_custkey as player_key", "cast(floor(c_acctbal) as string) as points")
+
+    @cached_property
+    def odds(self) -> DataFrame:
+        """One price per line item; repeated houses per event and an unknown house occur."""
+        return self.star("lineitem").selectExpr(
+            "l_orderkey as event_key",
+            "elt(cast(l_suppkey % 15 + 1 as int), '10Bet', '188bet', '1xBet', '888Sport', 'bet365', 'Betano', 'Betfair',"
+            " 'Marathon', 'Pncl', 'Sbo', 'Superbet', 'Unibet', 'WilliamHill', 'OtherBook', 'bet365') as betting_house",
+            "cast(1 + l_discount * 10 as decimal(10,2)) as home_odds",
+            "cast(1 + l_tax * 10 as decimal(10,2)) as away_odds",
+        )
+
+    def match_tables(self) -> MatchTables:
+        return MatchTables(self.results, self.fixtures, self.h2h, self.tournaments, self.standings, self.odds)
+
+    def _bets(self, rows: DataFrame, cons_every: int, *replaced: str) -> DataFrame:
+        return rows.selectExpr(
+            "event_key", "event_date", "event_first_player", "event_second_player", replaced[0], "tournament_name",
+            *replaced[1:], _cons_pick(cons_every),
+            "case when event_key % 5 = 0 then 'Sin apuesta' when event_key % 5 = 1 then event_second_player"
+            " when event_key % 5 <> 2 then event_first_player end as jugador_a_apostar_vb",
+            "cast(event_key % 20 as decimal(10,2)) as monto_apuesta_cons",
+            "cast(event_key % 30 as decimal(10,2)) as monto_apuesta_vb",
+            "cast(null as string) as result_bet", "cast(null as decimal(12,2)) as profit_loss_vb",
+            "cast(null as decimal(12,2)) as profit_loss_cons",
+            "case event_key % 12 when 0 then 'true' when 1 then 't' when 2 then '1' when 3 then '1.0' when 4 then ' YES '"
+            " when 5 then 'false' when 6 then 'f' when 7 then '0' when 8 then '0.5' when 9 then 'no' when 10 then 'maybe'"
+            " end as flag_low_bet_value",
+        )
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        return self._bets(
+            self.fixtures, 3,
+            "case event_winner when 'First Player' then 'P1' when 'Second Player' then 'P2' end as event_winner",
+            "cast(event_key % 9 + 1 as decimal(10,2)) as p1_odds", "cast(event_key % 7 + 1 as decimal(10,2)) as p2_odds",
+        )
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """Bets on all typed matches, none settled."""
+        return self._bets(
+            self.matches.filter("event_type_type is not null"), 4, "cast(null as string) as event_winner",
+            "cast(2 as decimal(10,2)) as p1_odds", "cast(2 as decimal(10,2)) as p2_odds",
+        )
+
+    @cached_property
+    def constants(self) -> DataFrame:
+        """One log row per part: profiles by brand, small parts under ``default``."""
+        return self.star("part").selectExpr(
+            "if(p_size < 5, 'default', p_brand) as nombre_constante",
+            *[f"cast(p_size + {i} as smallint) as c_0{i}" for i in range(1, 5)],
+            "cast(p_retailprice as float) as c_05",
+            *[f"cast(p_retailprice / {i} as float) as p_0{i}" for i in range(1, 5)],
+            "cast(p_retailprice / 8 as float) as pma_vb", "cast(p_retailprice / 16 as float) as pma_cons",
+            "cast(if(p_size % 3 <> 0, p_size, null) as smallint) as pm",
+            "timestamp_seconds(p_partkey * 60) as inserted_at",
+        )

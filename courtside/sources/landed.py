@@ -72,25 +72,31 @@ def flatten_h2h(landed: DataFrame) -> DataFrame:
     return _flatten_list(landed, meetings, schemas.MATCH_FIELDS, schemas.MATCH_IDS)
 
 
+_MARKET = "struct<`Home/Away`: struct<Home: map<string, string>, Away: map<string, string>>>"
+
+
+def _event_markets() -> Column:
+    """Event key -> its Home/Away market. A response parses in one go when all its
+    events fit; one odd event would lose the whole, so then each is parsed by itself."""
+    whole = F.from_json("result", f"map<string, {_MARKET}>")
+    texts = F.from_json("result", "map<string, string>")
+    return F.coalesce(whole, F.transform_values(texts, lambda _, event: F.from_json(event, _MARKET)))
+
+
 def flatten_odds(landed: DataFrame, date_start: Column | None = None) -> DataFrame:
     """One row per event and house with a price on both sides of the Home/Away market.
 
     ``event_date`` is the first day asked for, the same on every row of a pull: the
-    ``date_start`` partition column of the path, unless given. Events are split off
-    as text first, so that one oddly shaped event does not lose the others.
+    ``date_start`` partition column of the path, unless given.
     """
     day = F.col("date_start") if date_start is None else date_start
     events = landed.select(
-        F.explode(F.from_json("result", "map<string, string>")).alias("event_key", "event"),
-        day.cast("string").alias("event_date"),
+        F.explode(_event_markets()).alias("event_key", "event"), day.cast("string").alias("event_date")
     )
-    market = F.from_json(
-        "event", "struct<`Home/Away`: struct<Home: map<string, string>, Away: map<string, string>>>"
-    ).getField("Home/Away")
-    sides = events.select("event_key", "event_date", market.alias("market"))
-    prices = sides.select(
-        "event_key", "event_date", F.col("market.Away").alias("away"),
-        F.explode("market.Home").alias("betting_house", "home_odds"),
+    market = F.col("event").getField("Home/Away")
+    prices = events.select(
+        "event_key", "event_date", market["Away"].alias("away"),
+        F.explode(market["Home"]).alias("betting_house", "home_odds"),
     ).withColumn("away_odds", F.try_element_at("away", "betting_house"))
     return prices.filter(F.col("away_odds") != "").select(
         to_id(F.col("event_key")).alias("event_key"), "betting_house",
