@@ -14,7 +14,8 @@ _NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 def to_id(text: Column) -> Column:
     """Whole number from feed text, ``'2382.0'`` included; anything else is null."""
     number = text.try_cast("decimal(38,6)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), whole)
 
 
 def to_odds(text: Column) -> Column:

@@ -39,31 +39,37 @@ def _or_zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0))
 
 
-def _add_player(matches: DataFrame, side: str, key: str, by_surface: DataFrame, overall: DataFrame,
-                standings: DataFrame) -> DataFrame:
-    """Records, win shares and ranking points of one side."""
-    surface = by_surface.select(
-        F.col("player_id").alias(key), "tournament_sourface",
-        F.col("wins_sourface").alias("_ws"), F.col("losses_sourface").alias("_ls"),
-    )
-    total = overall.select(
-        F.col("player_id").alias(key), F.col("wins_all").alias("_wa"), F.col("losses_all").alias("_la")
-    )
-    ranked = standings.select(F.col("player_key").alias(key), F.col("points").alias("_points"))
-    ws, ls, wa, la = (_or_zero(F.col(c)) for c in ("_ws", "_ls", "_wa", "_la"))
-    return (
-        matches.join(surface, [key, "tournament_sourface"], "left")
-        .join(total, key, "left")
-        .join(ranked, key, "left")
-        .withColumns({
-            f"{side}_wins_sourface": ws, f"{side}_losses_sourface": ls,
-            f"{side}_wins_all": wa, f"{side}_losses_all": la,
-            f"{side}_rend_all": _or_zero(share(wa, la, 3)),
-            f"{side}_rend_sup": _or_zero(share(ws, ls, 3)),
-            f"{side}_points": F.coalesce("_points", F.lit("0")),
-        })
-        .drop("_ws", "_ls", "_wa", "_la", "_points")
+def player_cards(by_surface: DataFrame, overall: DataFrame, standings: DataFrame) -> DataFrame:
+    """Everything the mart needs of a player in one row: overall record, a record per
+    surface (one map entry for each court surface played on), ranking points.
+
+    The wide match rows then meet players once per side, by player key alone, instead
+    of three times per side. A player listed twice in the standings has two cards and
+    doubles their matches, as joining the standings would.
+    """
+    surfaces = by_surface.groupBy("player_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            "tournament_sourface", F.struct(F.col("wins_sourface").alias("wins"), F.col("losses_sourface").alias("losses"))
+        ))).alias("surfaces")
     )
+    records = overall.select("player_id", "wins_all", "losses_all").join(surfaces, "player_id", "left")
+    return records.join(standings.select(F.col("player_key").alias("player_id"), "points"), "player_id", "full")
+
+
+def _add_player(matches: DataFrame, side: str, key: str, cards: DataFrame) -> DataFrame:
+    """Records, win shares and ranking points of one side."""
+    on_surface = F.try_element_at("surfaces", "tournament_sourface")
+    ws, ls = _or_zero(on_surface["wins"]), _or_zero(on_surface["losses"])
+    wa, la = _or_zero(F.col("wins_all")), _or_zero(F.col("losses_all"))
+    added = {
+        f"{side}_wins_sourface": ws, f"{side}_losses_sourface": ls,
+        f"{side}_wins_all": wa, f"{side}_losses_all": la,
+        f"{side}_rend_all": _or_zero(share(wa, la, 3)),
+        f"{side}_rend_sup": _or_zero(share(ws, ls, 3)),
+        f"{side}_points": F.coalesce("points", F.lit("0")),
+    }
+    joined = matches.join(cards.withColumnRenamed("player_id", key), key, "left")
+    return joined.select(*matches.columns, *[value.alias(name) for name, value in added.items()])
 
 
 def match_mart(labelled: DataFrame, by_surface: DataFrame, overall: DataFrame, standings: DataFrame,
@@ -72,25 +78,22 @@ def match_mart(labelled: DataFrame, by_surface: DataFrame, overall: DataFrame, s
 
     ``labelled`` comes from ``match_labels``, ``odds`` from ``odds_consensus``. All
     joins are left equi-joins without hints: Spark broadcasts what is small by its
-    own size estimate and merges the rest.
+    own size estimate and merges the rest. Each has its own shuffle key, so that a hot
+    player or pair can be split while running.
     """
-    wide = _add_player(labelled, "p1", "first_player_key", by_surface, overall, standings)
-    wide = _add_player(wide, "p2", "second_player_key", by_surface, overall, standings)
-    prices = odds.select(
-        "event_key", F.col("home_odds").alias("p1_odds"), F.col("away_odds").alias("p2_odds")
-    )
-    return (
-        wide.join(h2h, ["first_player_key", "second_player_key"], "left")
-        .join(prices, "event_key", "left")
-        .withColumns({
-            "p1_wins_h2h": _or_zero(F.col("total_first_player_key")),
-            "p1_perc_h2h": _or_zero(F.col("p1_perc_h2h")),
-            "p2_wins_h2h": _or_zero(F.col("total_second_player_key")),
-            "p2_perc_h2h": _or_zero(F.col("p2_perc_h2h")),
-            "load_timestamp": F.current_timestamp() if loaded_at is None else loaded_at,
-        })
-        .select(*MART_COLUMNS)
-    )
+    cards = player_cards(by_surface, overall, standings)
+    wide = _add_player(labelled, "p1", "first_player_key", cards)
+    wide = _add_player(wide, "p2", "second_player_key", cards)
+    wide = wide.join(h2h, ["first_player_key", "second_player_key"], "left").join(odds, "event_key", "left")
+    added = {
+        "p1_wins_h2h": _or_zero(F.col("total_first_player_key")),
+        "p1_perc_h2h": _or_zero(F.col("p1_perc_h2h")),
+        "p2_wins_h2h": _or_zero(F.col("total_second_player_key")),
+        "p2_perc_h2h": _or_zero(F.col("p2_perc_h2h")),
+        "p1_odds": F.col("home_odds"), "p2_odds": F.col("away_odds"),
+        "load_timestamp": F.current_timestamp() if loaded_at is None else loaded_at,
+    }
+    return wide.select(*[added[c].alias(c) if c in added else c for c in MART_COLUMNS])
 
 
 def in_reading_order(mart: DataFrame) -> DataFrame:

@@ -19,12 +19,6 @@ def house_column(house: str, side: str) -> str:
     return f"`{house.lower()}_{side}_odds`"
 
 
-def odds_for_events(odds: DataFrame, events: DataFrame) -> DataFrame:
-    """Odds of the given events only, so that a table of all odds is cut down before
-    it is shuffled."""
-    return odds.join(events.select("event_key").distinct(), "event_key", "left_semi")
-
-
 def odds_pivot(odds: DataFrame) -> DataFrame:
     """One row per event. Explicit max-if columns keep it to one shuffle, with rows
     combined per event before it; a repeated house takes its highest price."""

@@ -35,8 +35,8 @@ def player_records(tables: MatchTables, as_of: dt.date, days: int = 365, keep: s
 
 
 def event_odds(tables: MatchTables) -> DataFrame:
-    """Consensus odds of the fixtures' events."""
-    return odds.odds_consensus(odds.odds_pivot(odds.odds_for_events(tables.odds, tables.fixtures)))
+    """Consensus odds per event."""
+    return odds.odds_consensus(odds.odds_pivot(tables.odds))
 
 
 def build_mart(tables: MatchTables, by_surface: DataFrame, overall: DataFrame, pairs: DataFrame,
