@@ -76,8 +76,8 @@ def _stored(schema, rows: DataFrame, at: dt.datetime | None) -> DataFrame:
     return stamped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def load_results(house: Warehouse, landed_path: str, start: dt.date, stop: dt.date, at=None) -> int:
-    rows = landed.flatten_matches(landed.read_landed(house.spark, landed_path))
+def load_results(house: Warehouse, rows: DataFrame, start: dt.date, stop: dt.date, at=None) -> int:
+    """Replaces the days of the history that were asked for."""
     stored = _stored(schemas.FIXTURES_RESULTS, rows, at)
     return tables.replace_days(house.spark, house.path("fixtures_results"), stored, start, stop)
 
@@ -116,34 +116,58 @@ def refresh_tables(house: Warehouse, as_of: dt.date, at: dt.datetime | None = No
     return [attempt("records", build_records), attempt("h2h", build_h2h), attempt("mart", build_mart)]
 
 
-def run_daily(spark: SparkSession, root: str, landing: str, as_of: dt.date, utc_hour: int,
-              at: dt.datetime | None = None, force: bool = False) -> list[Step]:
-    """The automatic refresh; does nothing when the data is up to date.
+class Landing:
+    """Landed responses, ``<root>/<table>/run_date=<day>/...``: only the pull of the run
+    day is read. Standings lie one level deeper, by ``event_type=``."""
 
-    Landed files lie under ``landing``: ``history/``, ``fixtures/``, ``h2h/``,
-    ``odds/date_start=.../``, ``tournaments/``, ``standings/event_type=.../``.
-    """
-    house = Warehouse(spark, root)
+    def __init__(self, spark: SparkSession, root: str, run_date: dt.date, multiline: bool = False):
+        self.spark, self.root, self.run_date, self.multiline = spark, root.rstrip("/"), run_date, multiline
+
+    def read(self, table: str) -> DataFrame:
+        return landed.read_landed(self.spark, f"{self.root}/{table}/run_date={self.run_date}", self.multiline)
+
+
+def load_table(house: Warehouse, pulls: Landing, name: str, history: tuple[dt.date, dt.date],
+               odds_start: dt.date, at: dt.datetime | None = None) -> int:
+    """Loads one source table from its landed pull."""
+    pull = pulls.read(name)
+    if name == "fixtures_results":
+        return load_results(house, landed.flatten_matches(pull), *history, at)
+    flatten = {
+        "fixtures_for_today": lambda: landed.flatten_matches(pull, logos=True),
+        "h2h_for_today2": lambda: landed.flatten_h2h(pull),
+        "odds_for_today": lambda: landed.flatten_odds(pull, F.lit(odds_start)),
+        "tournaments": lambda: landed.flatten_tournaments(pull),
+        "standings": lambda: landed.flatten_standings(pull),
+    }
+    return load_snapshot(house, name, flatten[name](), at)
+
+
+DAILY_TABLES = ["fixtures_results", "fixtures_for_today", "h2h_for_today2", "odds_for_today"]
+DIMENSIONS = ["tournaments", "standings"]
+
+
+def run_daily(house: Warehouse, pulls: Landing, utc_hour: int, at: dt.datetime | None = None) -> list[Step]:
+    """The automatic refresh; does nothing when the data is up to date. Tournaments and
+    standings are loaded on Mondays."""
+    as_of = pulls.run_date
     due = incremental.load_ranges(tables.max_event_date(house.results()), as_of, utc_hour).first()
-    if not (due.needs_refresh or force):
+    if not due.needs_refresh:
         return []
-
-    read = lambda name: landed.read_landed(spark, f"{landing.rstrip('/')}/{name}")
-    snapshot = lambda name, flatten: lambda: load_snapshot(house, name, flatten(), at)
-    loads = [
-        ("fixtures_results", lambda: load_results(
-            house, f"{landing.rstrip('/')}/history", due.history_start, due.history_stop, at)),
-        ("fixtures_for_today", snapshot(
-            "fixtures_for_today", lambda: landed.flatten_matches(read("fixtures"), logos=True))),
-        ("h2h_for_today2", snapshot("h2h_for_today2", lambda: landed.flatten_h2h(read("h2h")))),
-        ("odds_for_today", snapshot("odds_for_today", lambda: landed.flatten_odds(read("odds")))),
-    ]
-    if due.refresh_dimensions:
-        loads += [
-            ("tournaments", snapshot("tournaments", lambda: landed.flatten_tournaments(read("tournaments")))),
-            ("standings", snapshot("standings", lambda: landed.flatten_standings(read("standings")))),
-        ]
-    return [attempt(name, work) for name, work in loads] + refresh_tables(house, as_of, at)
+    history = (due.history_start, due.history_stop)
+    names = DAILY_TABLES + (DIMENSIONS if due.refresh_dimensions else [])
+    steps = [attempt(n, lambda n=n: load_table(house, pulls, n, history, due.odds_start, at)) for n in names]
+    return steps + refresh_tables(house, as_of, at)
+
+
+def run_manual(house: Warehouse, pulls: Landing, names: tuple[str, ...] = ("fixtures_for_today",),
+               at: dt.datetime | None = None) -> list[Step]:
+    """A refresh on demand of the chosen tables; history covers its two last days."""
+    as_of = pulls.run_date
+    history = incremental.days_from(as_of, incremental.MANUAL_HISTORY_DAYS)
+    odds_start, _ = incremental.days_from(as_of, incremental.ODDS_DAYS)
+    steps = [attempt(n, lambda n=n: load_table(house, pulls, n, history, odds_start, at)) for n in names]
+    return steps + refresh_tables(house, as_of, at)
 
 
 def merge_history_days(spark: SparkSession, path: str, analysis: DataFrame, as_of: dt.date,
