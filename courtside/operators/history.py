@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.labels import NO_BET
 from courtside.operators.dedup import keep_one
+from courtside.operators.skew import shard
 
 KEYS = ["event_key", "event_date"]
 REFRESHED = ["event_winner", "p1_odds", "p2_odds"]
@@ -65,7 +66,8 @@ def update_history(hist: DataFrame, analysis: DataFrame, as_of: dt.date, per_mod
     lowest odds, so that every run picks the same one.
     """
     past = analysis.filter(F.to_date("event_date") < F.lit(as_of)).select(*KEYS, *REFRESHED)
-    past = keep_one(past, KEYS, "event_winner", ["p1_odds", "p2_odds"])
+    sharded = past.withColumn("_shard", shard("event_key"))
+    past = keep_one(sharded, [*KEYS, "_shard"], "event_winner", ["p1_odds", "p2_odds"])
     found = past.select(*KEYS, F.struct(*REFRESHED).alias("_new"))
     joined = hist.join(found, KEYS, "left")
     matched = F.col("_new").isNotNull()

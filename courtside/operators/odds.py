@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtside.operators.skew import shard
+
 # The houses that count. Others are ignored.
 HOUSES = [
     "10Bet", "188bet", "1xBet", "888Sport", "bet365", "Betano", "Betfair", "Marathon", "Pncl", "Sbo",
@@ -27,7 +29,7 @@ def odds_pivot(odds: DataFrame) -> DataFrame:
         for house in HOUSES
         for side, price in SIDES.items()
     ]
-    return odds.groupBy("event_key").agg(*prices)
+    return odds.groupBy("event_key", shard("event_key").alias("_shard")).agg(*prices).drop("_shard")
 
 
 def _consensus(side: str) -> Column:

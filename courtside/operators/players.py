@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from courtside.functions import labels
 from courtside.operators.dedup import keep_one
+from courtside.operators.skew import shard
 
 
 def player_universe(fixtures: DataFrame) -> DataFrame:
     """Distinct players on either side of the fixtures (a null key stays a value)."""
     both = F.array("first_player_key", "second_player_key")
-    return fixtures.select(F.explode(both).alias("player_id")).distinct()
+    listed = fixtures.select(F.explode(both).alias("player_id"))
+    return listed.select("player_id", shard("player_id")).distinct().select("player_id")
 
 
 def player_pairs(fixtures: DataFrame) -> DataFrame:
@@ -29,10 +31,10 @@ def countable_matches(
     universe, one download per event.
 
     The filters and the membership test run before the dedup on purpose: the earliest
-    row is chosen among those that pass. Membership is carried as one flag per side
-    (left joins on a distinct key cannot add rows), so the player join is not needed
-    again afterwards. Spark broadcasts the universe when its size allows and
-    sort-merges it otherwise, splitting hot players.
+    row is chosen among those that pass. Membership is carried as one flag per side, so
+    the player join is not needed again afterwards; a player listed twice does no harm,
+    as the dedup removes the repeats. Spark broadcasts the universe when its size allows and
+    sort-merges it otherwise, where hot players are split.
     """
     recent = results.filter(
         labels.within_trailing_days(labels.match_day(results), as_of, days)
@@ -42,7 +44,7 @@ def countable_matches(
         "event_key", "download_time", "first_player_key", "second_player_key",
         "event_winner", "tournament_key",
     )
-    known = players.select("player_id").dropna().distinct()
+    known = players.select("player_id").dropna()
     first = known.select(F.col("player_id").alias("first_player_key"), F.lit(True).alias("first_known"))
     second = known.select(F.col("player_id").alias("second_player_key"), F.lit(True).alias("second_known"))
     member = (
