@@ -9,7 +9,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,22 +97,20 @@ def replace_days(spark: SparkSession, path: str, rows: DataFrame, start: dt.date
     """Replaces the days from start to stop by a load; other days are not touched.
 
     An empty load changes nothing. Rows the load has outside its own range are
-    appended, as nothing of theirs was deleted. Returns the rows loaded.
+    appended, as nothing of theirs was deleted. Returns the rows loaded, counted on the
+    way through, so that the load is computed once.
     """
-    rows = rows.withColumn(DAY, F.to_date("event_date")).persist()
-    try:
-        count = rows.count()
-        if not count:
-            return 0
-        inside = F.coalesce(F.col(DAY).between(F.lit(start), F.lit(stop)), F.lit(False))
-        span = spark.range((stop - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"))
-        _write_days(rows.filter(inside).unionByName(_day_markers(spark, span, rows.schema)), path, "overwrite")
-        outside = rows.filter(~inside)
-        if not outside.isEmpty():
-            _write_days(outside, path, "append")
-        return count
-    finally:
-        rows.unpersist()
+    if rows.isEmpty():
+        return 0
+    inside = F.coalesce(F.col(DAY).between(F.lit(start), F.lit(stop)), F.lit(False))
+    rows = rows.withColumn(DAY, F.to_date("event_date"))
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(~inside).alias("outside"))
+    span = spark.range((stop - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"))
+    _write_days(counted.filter(inside).unionByName(_day_markers(spark, span, rows.schema)), path, "overwrite")
+    if seen.get["outside"]:
+        _write_days(rows.filter(~inside), path, "append")
+    return seen.get["all"]
 
 
 def overwrite_days(spark: SparkSession, path: str, rows: DataFrame, days: Sequence[dt.date]) -> None:
@@ -137,9 +135,11 @@ def _without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Appends in one job commit, NaN as null."""
-    _without_nan(rows).write.mode("append").parquet(path)
+def append_rows(rows: DataFrame, path: str) -> int:
+    """Appends in one job commit, NaN as null. Returns the rows, counted on the way."""
+    seen = Observation()
+    _without_nan(rows).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return seen.get["rows"]
 
 
 def create_table_as(rows: DataFrame, name: str) -> None:

@@ -187,7 +187,8 @@ def test_constants_log(spark, tmp_path):
     for i, (name, value) in enumerate([("zeta", 1), ("default", 2), ("zeta", 3), ("alpha", 4)]):
         row = constants.constants_row(spark, {"nombre_constante": name, "c_01": value, "c_05": float("nan")},
                                       dt.datetime(2024, 1, 1 + i))
-        tables.append_rows(row, path)
+        assert tables.append_rows(row, path) == 1
+    assert tables.append_rows(row.filter("c_01 < 0"), path) == 0 and tables.append_rows(row.limit(0), path) == 0
     log = spark.read.parquet(path)
     assert log.count() == 4 and log.filter("c_05 is not null").count() == 0
     assert rows(constants.latest_constants(log), "nombre_constante", "c_01") == [("alpha", 4), ("default", 2), ("zeta", 3)]
