@@ -120,7 +120,12 @@ def fixture_labels(spark, sf_dir):
 
 @_register
 def match_mart(spark, sf_dir):
-    return mart.in_reading_order(_mart(spark, sf_dir)).drop("load_timestamp")
+    return _mart(spark, sf_dir).drop("load_timestamp")
+
+
+@_register
+def mart_in_order(spark, sf_dir):
+    return mart.in_reading_order(_mart(spark, sf_dir)).select("event_key", "event_date", "event_time", "p1_odds", "p2_odds")
 
 
 @_register
