@@ -84,8 +84,13 @@ def update_history(hist: DataFrame, analysis: DataFrame, as_of: dt.date, per_mod
 
 def drop_replaced_dates(hist: DataFrame, analysis: DataFrame, as_of: dt.date) -> DataFrame:
     """Without the dates, compared as text, that the analysis holds from today on,
-    whether or not it has bets there. Rows without a date stay."""
-    dates = analysis.filter(F.to_date("event_date") >= F.lit(as_of)).select("event_date").distinct()
+    whether or not it has bets there. Rows without a date stay.
+
+    A day may hold much of the history. The dates are few, so Spark broadcasts them;
+    should it merge instead, their own shuffle lets it split such a day.
+    """
+    coming = analysis.filter(F.to_date("event_date") >= F.lit(as_of))
+    dates = coming.select("event_date", shard(F.xxhash64("event_date"))).distinct().select("event_date")
     return hist.join(dates, "event_date", "left_anti").select(*hist.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def shard(key: str) -> Column:
+def shard(key: Column | str) -> Column:
     """A second grouping column that follows from the first.
 
     While running, Spark splits a hot key of a merge join only if both sides were
@@ -15,4 +15,4 @@ def shard(key: str) -> Column:
     groups but no such placement: it gets a shuffle of its own, by then of one small row
     per key, and the hot keys of the other side can be split. Broadcasts are unaffected.
     """
-    return F.pmod(F.col(key), F.lit(2))
+    return F.pmod(key, F.lit(2))

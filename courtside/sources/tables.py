@@ -142,6 +142,13 @@ def append_rows(rows: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
+def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+    """The catalog table, created empty when there is none."""
+    if not spark.catalog.tableExists(name):
+        spark.createDataFrame([], schema).write.saveAsTable(name)
+    return spark.table(name)
+
+
 def create_table_as(rows: DataFrame, name: str) -> None:
     """Drops and creates a catalog table."""
     rows.write.mode("overwrite").saveAsTable(name)

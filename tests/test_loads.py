@@ -183,6 +183,19 @@ def test_load_ranges(spark):
     assert incremental.days_from(AS_OF, incremental.MANUAL_HISTORY_DAYS) == (D(2024, 3, 13), D(2024, 3, 14))
 
 
+def test_catalog_tables(spark, tmp_path):
+    spark.sql(f"create database courtside_test location '{tmp_path}/db'")
+    try:
+        name = "courtside_test.odds_for_today"
+        assert tables.ensure_table(spark, name, schemas.ODDS_FOR_TODAY).schema == schemas.ODDS_FOR_TODAY
+        tables.create_table_as(frames.standings(spark, (1, "1")), name)
+        assert rows(tables.ensure_table(spark, name, schemas.ODDS_FOR_TODAY)) == [(1, "1")]
+        tables.create_table_as(frames.standings(spark, (2, "2")), name)
+        assert rows(spark.table(name)) == [(2, "2")]
+    finally:
+        spark.sql("drop database courtside_test cascade")
+
+
 def test_sql(spark, tmp_path):
     assert tables.run_sql(spark, "select ? + 1 as x", [41]).first().x == 42
     (tmp_path / "q.sql").write_text("select 7\n  as x\n")
