@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,14 @@ def nan_to_null(value: Column) -> Column:
 
 
 def share(part: Column, rest: Column, digits: int) -> Column:
-    """part / (part + rest), rounded half-up in exact decimals; null when the sum is 0."""
+    """part / (part + rest) of two counts, rounded half-up; null when the sum is 0.
+
+    Exact: the last digit is found in whole numbers, which is also much faster than a
+    decimal division.
+    """
     whole = F.nullif(part + rest, F.lit(0))
-    return F.round(part.cast("decimal(20,0)") / whole.cast("decimal(20,0)"), digits)
+    units = F.call_function("div", part * (2 * 10**digits) + whole, whole * 2)
+    return (units.cast("decimal(9,0)") * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal({digits + 1},{digits})")
 
 
 def gap(left: Column, right: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,12 @@ def match_labels(fixtures: DataFrame, tournaments: DataFrame, default_logo: str
     )
 
 
-def _or_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0))
+def _or_zero(count: Column) -> Column:
+    return F.coalesce(count, F.lit(0))
+
+
+def _or_no_share(value: Column) -> Column:
+    return F.coalesce(value, F.lit(Decimal("0.0")))
 
 
 def player_cards(by_surface: DataFrame, overall: DataFrame, standings: DataFrame) -> DataFrame:
@@ -64,8 +70,8 @@ def _add_player(matches: DataFrame, side: str, key: str, cards: DataFrame) -> Da
     added = {
         f"{side}_wins_sourface": ws, f"{side}_losses_sourface": ls,
         f"{side}_wins_all": wa, f"{side}_losses_all": la,
-        f"{side}_rend_all": _or_zero(share(wa, la, 3)),
-        f"{side}_rend_sup": _or_zero(share(ws, ls, 3)),
+        f"{side}_rend_all": _or_no_share(share(wa, la, 3)),
+        f"{side}_rend_sup": _or_no_share(share(ws, ls, 3)),
         f"{side}_points": F.coalesce("points", F.lit("0")),
     }
     joined = matches.join(cards.withColumnRenamed("player_id", key), key, "left")
@@ -87,9 +93,9 @@ def match_mart(labelled: DataFrame, by_surface: DataFrame, overall: DataFrame, s
     wide = wide.join(h2h, ["first_player_key", "second_player_key"], "left").join(odds, "event_key", "left")
     added = {
         "p1_wins_h2h": _or_zero(F.col("total_first_player_key")),
-        "p1_perc_h2h": _or_zero(F.col("p1_perc_h2h")),
+        "p1_perc_h2h": _or_no_share(F.col("p1_perc_h2h")),
         "p2_wins_h2h": _or_zero(F.col("total_second_player_key")),
-        "p2_perc_h2h": _or_zero(F.col("p2_perc_h2h")),
+        "p2_perc_h2h": _or_no_share(F.col("p2_perc_h2h")),
         "p1_odds": F.col("home_odds"), "p2_odds": F.col("away_odds"),
         "load_timestamp": F.current_timestamp() if loaded_at is None else loaded_at,
     }

@@ -32,10 +32,19 @@ def odds_pivot(odds: DataFrame) -> DataFrame:
     return odds.groupBy("event_key", shard("event_key").alias("_shard")).agg(*prices).drop("_shard")
 
 
+def _sum(terms: list[str]) -> str:
+    """Added up in pairs: a decimal gains a digit per level, so that the sum of a dozen
+    prices keeps to the short decimals, which are added as longs."""
+    if len(terms) == 1:
+        return terms[0]
+    half = len(terms) // 2
+    return f"({_sum(terms[:half])} + {_sum(terms[half:])})"
+
+
 def _consensus(side: str) -> Column:
     others = [house_column(h, side) for h in HOUSES if h != LEAD_HOUSE]
-    total = " + ".join(f"coalesce({price}, 0)" for price in others)
-    count = " + ".join(f"if({price} is null, 0, 1)" for price in others)
+    total = _sum([f"coalesce({price}, 0.0BD)" for price in others])
+    count = _sum([f"if({price} is null, 0, 1)" for price in others])
     return F.expr(f"coalesce({house_column(LEAD_HOUSE, side)}, round(({total}) / nullif({count}, 0), 2))")
 
 

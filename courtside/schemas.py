@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ODDS = T.DecimalType(18, 6)
+ODDS = T.DecimalType(14, 6)  # sums of a dozen still fit a long
 MONEY = T.DecimalType(12, 2)
 
 
