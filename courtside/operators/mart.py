@@ -15,28 +15,37 @@ from courtside.schemas import MART_COLUMNS
 DEFAULT_LOGO = "player_default.jpg"
 
 
-def match_labels(fixtures: DataFrame, tournaments: DataFrame, default_logo: str = DEFAULT_LOGO) -> DataFrame:
-    """Cleaned labels of every fixture."""
-    kind, status, winner = F.col("event_type_type"), F.col("event_status"), F.col("event_winner")
-    surface = F.coalesce("tournament_sourface", F.lit(labels.UNKNOWN))
+def with_surface(fixtures: DataFrame, tournaments: DataFrame) -> DataFrame:
+    """Fixtures with the normalised surface of their tournament, as columns else raw."""
+    surface = F.coalesce("tournament_sourface", F.lit(labels.UNKNOWN)).alias("tournament_sourface")
     joined = fixtures.join(tournament_surfaces(tournaments), "tournament_key", "left")
     return joined.select(
         "event_key", "event_date", "event_time",
         "event_first_player", "first_player_key", "event_second_player", "second_player_key",
-        F.coalesce("event_first_player_logo", F.lit(default_logo)).alias("event_first_player_logo"),
-        F.coalesce("event_second_player_logo", F.lit(default_logo)).alias("event_second_player_logo"),
-        labels.status_label(status).alias("event_status"),
-        labels.winner_label(winner).alias("event_winner"),
-        "tournament_name",
-        labels.event_kind(kind).alias("event_type"),
-        labels.event_subtype(kind).alias("event_type_2"),
-        labels.event_family(kind).alias("event_type_3"),
-        "event_type_type",
-        labels.gender_label(kind).alias("event_gender"),
-        surface.alias("tournament_sourface"),
+        "event_first_player_logo", "event_second_player_logo",
+        "event_status", "event_winner", "tournament_name", "event_type_type", surface,
     )
 
 
+def _label_columns(default_logo: str) -> dict[str, Column]:
+    kind = F.col("event_type_type")
+    return {
+        "event_first_player_logo": F.coalesce("event_first_player_logo", F.lit(default_logo)),
+        "event_second_player_logo": F.coalesce("event_second_player_logo", F.lit(default_logo)),
+        "event_status": labels.status_label(F.col("event_status")),
+        "event_winner": labels.winner_label(F.col("event_winner")),
+        "event_type": labels.event_kind(kind),
+        "event_type_2": labels.event_subtype(kind),
+        "event_type_3": labels.event_family(kind),
+        "event_gender": labels.gender_label(kind),
+    }
+
+
+def match_labels(fixtures: DataFrame, tournaments: DataFrame, default_logo: str = DEFAULT_LOGO) -> DataFrame:
+    """Cleaned labels of every fixture."""
+    return with_surface(fixtures, tournaments).withColumns(_label_columns(default_logo))
+
+
 def _or_zero(count: Column) -> Column:
     return F.coalesce(count, F.lit(0))
 
@@ -78,20 +87,22 @@ def _add_player(matches: DataFrame, side: str, key: str, cards: DataFrame) -> Da
     return joined.select(*matches.columns, *[value.alias(name) for name, value in added.items()])
 
 
-def match_mart(labelled: DataFrame, by_surface: DataFrame, overall: DataFrame, standings: DataFrame,
-               h2h: DataFrame, odds: DataFrame, loaded_at: Column | None = None) -> DataFrame:
-    """One row per fixture with both players' records, points, head-to-head and odds.
+def match_mart(fixtures: DataFrame, tournaments: DataFrame, by_surface: DataFrame, overall: DataFrame,
+               standings: DataFrame, h2h: DataFrame, odds: DataFrame, loaded_at: Column | None = None,
+               default_logo: str = DEFAULT_LOGO) -> DataFrame:
+    """One row per fixture with labels, both players' records, points, head-to-head and odds.
 
-    ``labelled`` comes from ``match_labels``, ``odds`` from ``odds_consensus``. All
-    joins are left equi-joins without hints: Spark broadcasts what is small by its
-    own size estimate and merges the rest. Each has its own shuffle key, so that a hot
-    player or pair can be split while running.
+    ``odds`` comes from ``odds_consensus``. All joins are left equi-joins without hints:
+    Spark broadcasts what is small by its own size estimate and merges the rest. Each has
+    its own shuffle key, so that a hot player or pair can be split while running. Labels
+    are worked out after the joins, which leaves them out of the shuffles.
     """
     cards = player_cards(by_surface, overall, standings)
-    wide = _add_player(labelled, "p1", "first_player_key", cards)
+    wide = _add_player(with_surface(fixtures, tournaments), "p1", "first_player_key", cards)
     wide = _add_player(wide, "p2", "second_player_key", cards)
     wide = wide.join(h2h, ["first_player_key", "second_player_key"], "left").join(odds, "event_key", "left")
     added = {
+        **_label_columns(default_logo),
         "p1_wins_h2h": _or_zero(F.col("total_first_player_key")),
         "p1_perc_h2h": _or_no_share(F.col("p1_perc_h2h")),
         "p2_wins_h2h": _or_zero(F.col("total_second_player_key")),

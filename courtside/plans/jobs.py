@@ -41,8 +41,10 @@ def event_odds(tables: MatchTables) -> DataFrame:
 
 def build_mart(tables: MatchTables, by_surface: DataFrame, overall: DataFrame, pairs: DataFrame,
                loaded_at: Column | None = None, default_logo: str = mart.DEFAULT_LOGO) -> DataFrame:
-    labelled = mart.match_labels(tables.fixtures, tables.tournaments, default_logo)
-    return mart.match_mart(labelled, by_surface, overall, tables.standings, pairs, event_odds(tables), loaded_at)
+    return mart.match_mart(
+        tables.fixtures, tables.tournaments, by_surface, overall, tables.standings, pairs, event_odds(tables),
+        loaded_at, default_logo,
+    )
 
 
 def full_mart(tables: MatchTables, as_of: dt.date, loaded_at: Column | None = None) -> DataFrame:
