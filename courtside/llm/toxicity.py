@@ -17,7 +17,7 @@ DIMENSIONS = 1 << 20
 #: Labelled documents learnt from, per class: the bound of the training sample.
 PER_CLASS = 4000
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 16.0, 0.1, 6
 
 # Letters, digits and all beyond ASCII make words; upper case counts as lower case.
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -51,16 +51,17 @@ class FTRL:
         w = -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    def update(self, at: np.ndarray, label: int) -> None:
+    def update(self, at: np.ndarray, label: int, importance: float = 1.0) -> None:
         w = self.weights(at)
-        gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
+        gradient = importance * (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label)
         step = (np.sqrt(self.n[at] + gradient**2) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += gradient - step * w
         self.n[at] += gradient**2
 
 
 def train(texts: list[str], labels: list[int]) -> bytes:
-    """The non-zero weights as bytes. Without documents of both classes only a bias."""
+    """The non-zero weights as bytes. The rarer class counts by the root of what it lacks;
+    without documents of both classes only a bias is left."""
     model, seen = FTRL(), []
     for start in range(0, len(texts), 256):
         part = [t.encode() for t in texts[start : start + 256]]
@@ -68,10 +69,11 @@ def train(texts: list[str], labels: list[int]) -> bytes:
         key = np.unique(owner * DIMENSIONS + number)  # each feature once per text
         cut = np.searchsorted(key // DIMENSIONS, np.arange(len(part) + 1))
         seen += [np.append(key[a:b] % DIMENSIONS, DIMENSIONS) for a, b in zip(cut, cut[1:])]
-    order = np.random.default_rng(7)
+    order, toxic = np.random.default_rng(7), max(1, sum(labels))
+    importance = (max(1.0, (max(1, len(labels) - toxic) / toxic) ** -0.5), max(1.0, ((len(labels) - toxic) / toxic) ** 0.5))
     for _ in range(EPOCHS):
         for i in order.permutation(len(seen)):
-            model.update(seen[i], labels[i])
+            model.update(seen[i], labels[i], importance[labels[i]])
     weights = model.weights(np.arange(DIMENSIONS + 1)).astype(np.float32)
     at = np.flatnonzero(weights)
     out = io.BytesIO()
