@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courtside.llm import bpe, chat, decontaminate, pii, quality, simhash, substrings, syncmers, toxicity, urls
 from courtside.llm.common import read_table
 from courtside.llm.linear import is_held_out
+from courtside.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def outcomes(labels: DataFrame) -> DataFrame:
@@ -83,4 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_reputation, op2_decontamination, op3_substring_dedup, op4_byte_bpe, op5_syncmer_fingerprints,
         op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_chat)
 }
-ORACLE_SQL: dict[str, str] = {}
