@@ -40,4 +40,5 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes])
         model = fit([r["text"] for r in rows], [r["label"] for r in rows])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
-    return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first().model)
+    # Repartitioned, not coalesced: the scan of the documents stays spread over all tasks.
+    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first().model)
