@@ -21,7 +21,13 @@ def to_id(text: Column) -> Column:
 
 
 def to_odds(text: Column) -> Column:
-    return text.try_cast(ODDS)
+    """A price from feed text; what is no number is null. A number that the table would cut
+    or overflow fails the load."""
+    exact = text.try_cast("decimal(38,18)")
+    stored = text.try_cast(ODDS)
+    fits = F.coalesce(exact == stored, F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("price does not fit: "), text)).cast(ODDS)
+    return F.when(fits, stored).when(F.trim(text).rlike(_NUMERIC_TEXT), refuse)
 
 
 def to_number(value: Column) -> Column:

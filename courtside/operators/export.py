@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions import formats
 from courtside.operators import filters
+from courtside.operators.mart import TIE_BREAKERS
 
 # Which columns take which format.
 PERCENT_COLUMNS = ["p1_perc_h2h", "p2_perc_h2h", "p1_rend_all", "p1_rend_sup", "p2_rend_all", "p2_rend_sup"]
@@ -33,8 +34,8 @@ def spanish_table(df: DataFrame) -> DataFrame:
 
 def export_table(df: DataFrame, columns: Sequence[str] = tuple(filters.TABLE_COLUMNS), spanish: bool = True) -> DataFrame:
     """Rows by tournament and time, which need not be among the columns shown."""
-    keys = [F.asc_nulls_last(c) for c in filters.present(df, EXPORT_ORDER)]
-    ordered = df.orderBy(*keys) if keys else df
+    keys = filters.present(df, EXPORT_ORDER)
+    ordered = df.orderBy(*[F.asc_nulls_last(c) for c in keys + filters.present(df, TIE_BREAKERS)]) if keys else df
     shown = ordered.select(*filters.present(df, columns))
     return spanish_table(shown) if spanish else shown
 

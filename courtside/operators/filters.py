@@ -41,7 +41,7 @@ FILTER_COLUMNS = [
 def require_columns(df: DataFrame, columns: Sequence[str] = tuple(REQUIRED_COLUMNS)) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError("Missing required columns: " + ", ".join(missing))
+        raise ValueError(f"the table lacks {missing}")
     return df
 
 
@@ -99,6 +99,16 @@ def row_columns(df: DataFrame, with_odds: bool = False) -> list[str]:
     return columns
 
 
+def summary_table(df: DataFrame) -> DataFrame:
+    """The summary's columns as far as the table has them; the flag as true or false, where
+    null and unknown values are false."""
+    shown = df.select(*present(df, SUMMARY_COLUMNS))
+    if "flag_low_bet_value" not in shown.columns:
+        return shown
+    low = labels.flag_to_binary(F.col("flag_low_bet_value")) == 1
+    return shown.withColumn("flag_low_bet_value", F.coalesce(low, F.lit(False)))
+
+
 def filter_analysis(df: DataFrame, event_day=ALL, event_type: str = ALL, event_status: str = ALL,
                     flag: str = ALL, bets: str = "Con apuesta", tournaments: Sequence[str] = ()) -> DataFrame:
     """The analysis view's whole filter chain."""

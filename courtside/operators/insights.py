@@ -57,25 +57,39 @@ def start_time(matches: DataFrame) -> Column:
     )
 
 
+def with_start(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("start_time", start_time(matches))
+
+
+def first_by_start(timed: DataFrame, n: int | None) -> DataFrame:
+    keys = filters.present(timed, ["start_time", "event_key", "first_player_key", "second_player_key"])
+    ordered = timed.orderBy(*[F.asc_nulls_last(c) for c in keys])
+    return ordered if n is None else ordered.limit(n)
+
+
+def any_start(timed: DataFrame) -> bool:
+    """Asked of the data; stops at the first readable start time."""
+    return not timed.filter(F.col("start_time").isNotNull()).isEmpty()
+
+
 def upcoming(matches: DataFrame, n: int | None = 10) -> DataFrame:
     """Matches by start time, unreadable last, the first ``n`` of them (``None``: all).
 
     Should no start time be readable, the rows come unsorted and whole. That is asked
-    of the data first; the question stops at the first readable row.
+    of the data first; the question stops at the first readable row, so the matches should
+    be cheap to compute: labelled fixtures, not the mart.
     """
-    timed = matches.withColumn("start_time", start_time(matches))
-    if timed.filter(F.col("start_time").isNotNull()).isEmpty():
-        return timed
-    ordered = timed.orderBy(F.asc_nulls_last("start_time"), F.asc_nulls_last("event_key"))
-    return ordered if n is None else ordered.limit(n)
+    timed = with_start(matches)
+    return first_by_start(timed, n) if any_start(timed) else timed
 
 
-def next_matches(mart: DataFrame, n: int = 10) -> DataFrame:
+def not_started(matches: DataFrame) -> DataFrame:
     """The default list: men's singles that have not started."""
-    chosen = filters.filter_in(
-        mart, event_type=["Singles"], event_status=["Not yet started"], event_gender=["Men"]
-    )
-    return upcoming(chosen, n)
+    return filters.filter_in(matches, event_type=["Singles"], event_status=["Not yet started"], event_gender=["Men"])
+
+
+def next_matches(mart: DataFrame, n: int = 10) -> DataFrame:
+    return upcoming(not_started(mart), n)
 
 
 def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:

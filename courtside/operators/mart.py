@@ -68,7 +68,9 @@ def player_cards(by_surface: DataFrame, overall: DataFrame, standings: DataFrame
         ))).alias("surfaces")
     )
     records = overall.select("player_id", "wins_all", "losses_all").join(surfaces, "player_id", "left")
-    return records.join(standings.select(F.col("player_key").alias("player_id"), "points"), "player_id", "full")
+    # A standing without a key meets no match; left in, all of them would meet in one task.
+    ranked = standings.filter("player_key is not null").select(F.col("player_key").alias("player_id"), "points")
+    return records.join(ranked, "player_id", "full")
 
 
 def _add_player(matches: DataFrame, side: str, key: str, cards: DataFrame) -> DataFrame:
@@ -113,5 +115,9 @@ def match_mart(fixtures: DataFrame, tournaments: DataFrame, by_surface: DataFram
     return wide.select(*[added[c].alias(c) if c in added else c for c in MART_COLUMNS])
 
 
+#: Last sort keys: few dates and times are distinct, and a sort can only split where keys differ.
+TIE_BREAKERS = ["event_key", "first_player_key", "second_player_key"]
+
+
 def in_reading_order(mart: DataFrame) -> DataFrame:
-    return mart.orderBy(F.asc_nulls_last("event_date"), F.asc_nulls_last("event_time"))
+    return mart.orderBy(*[F.asc_nulls_last(c) for c in ("event_date", "event_time", *TIE_BREAKERS)])

@@ -10,11 +10,11 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from courtside import schemas
-from courtside.operators import h2h, history, records
+from courtside.operators import constants, h2h, history, records
 from courtside.plans import jobs
 from courtside.sources import landed, tables
 from courtside.streaming import incremental
@@ -26,12 +26,16 @@ class Step:
     ok: bool
     rows: int | None = None
     message: str = ""
+    skipped: int = 0
 
 
-def attempt(name: str, work: Callable[[], int | None]) -> Step:
-    """Runs a step; a failure is reported and does not stop the steps after it."""
+def attempt(name: str, work: Callable[[], int | tuple[int, int] | None]) -> Step:
+    """Runs a step, which returns its rows, or rows and what was skipped. A failure is
+    reported and does not stop the steps after it."""
     try:
-        return Step(name, True, work())
+        done = work()
+        rows, skipped = done if isinstance(done, tuple) else (done, 0)
+        return Step(name, True, rows, skipped=skipped)
     except Exception as error:  # the report carries it
         return Step(name, False, message=f"{type(error).__name__}: {error}")
 
@@ -49,6 +53,7 @@ class Warehouse:
         "stg_players_results_all": schemas.RECORDS_ALL,
         "stg_h2h_for_today_processed": None,
         "main_todays_games_details": None,
+        "main_todays_analysis": None,
     }
 
     def __init__(self, spark: SparkSession, root: str):
@@ -63,6 +68,21 @@ class Warehouse:
     def results(self) -> DataFrame:
         return tables.read_days(self.spark, self.path("fixtures_results"), schemas.FIXTURES_RESULTS)
 
+    def high_water(self) -> DataFrame:
+        return tables.high_water(self.spark, self.path("fixtures_results"), schemas.FIXTURES_RESULTS)
+
+    def bet_history(self, schema) -> DataFrame:
+        """The kept bets, with the columns of the analysis they came from."""
+        return tables.read_days(self.spark, self.path("full_analysis_hist"), schema)
+
+    def constants(self) -> DataFrame:
+        """The log of constants, all profiles and times."""
+        return tables.read_or_empty(self.spark, self.path("constants_main"), schemas.CONSTANTS)
+
+    def append_constants(self, values: dict, at: dt.datetime | None = None) -> int:
+        """Adds one row to the log."""
+        return tables.append_rows(constants.constants_row(self.spark, values, at), self.path("constants_main"))
+
     def sources(self) -> jobs.MatchTables:
         read = lambda name: self.snapshot(name).read()
         return jobs.MatchTables(
@@ -84,7 +104,9 @@ def load_results(house: Warehouse, rows: DataFrame, start: dt.date, stop: dt.dat
 
 def load_snapshot(house: Warehouse, name: str, rows: DataFrame, at=None) -> int:
     """Full replace of a table; an empty pull leaves the old rows."""
-    return house.snapshot(name).replace(_stored(house.SNAPSHOTS[name], rows, at), keep_if_empty=True)
+    # Rebalanced: a large response is parsed by one task, its rows are written by many.
+    stored = _stored(house.SNAPSHOTS[name], rows, at).hint("rebalance")
+    return house.snapshot(name).replace(stored, keep_if_empty=True)
 
 
 def refresh_tables(house: Warehouse, as_of: dt.date, at: dt.datetime | None = None) -> list[Step]:
@@ -123,19 +145,23 @@ class Landing:
     def __init__(self, spark: SparkSession, root: str, run_date: dt.date, multiline: bool = False):
         self.spark, self.root, self.run_date, self.multiline = spark, root.rstrip("/"), run_date, multiline
 
-    def read(self, table: str) -> DataFrame:
-        return landed.read_landed(self.spark, f"{self.root}/{table}/run_date={self.run_date}", self.multiline)
+    def read(self, table: str, on_bad: str = "fail") -> DataFrame:
+        return landed.read_landed(self.spark, f"{self.root}/{table}/run_date={self.run_date}", self.multiline, on_bad)
 
 
 def load_table(house: Warehouse, pulls: Landing, name: str, history: tuple[dt.date, dt.date],
-               odds_start: dt.date, at: dt.datetime | None = None) -> int:
-    """Loads one source table from its landed pull."""
+               odds_start: dt.date, at: dt.datetime | None = None) -> int | tuple[int, int]:
+    """Loads one source table from its landed pull. Of head-to-head pulls the pairs that
+    cannot be used are skipped and counted; any other odd response fails the load."""
+    if name == "h2h_for_today2":
+        pull, seen = pulls.read(name, on_bad="skip"), Observation()
+        pull = pull.observe(seen, F.count_if(landed.bad_pair(pull)).alias("skipped"))
+        return load_snapshot(house, name, landed.flatten_h2h(pull, on_bad="skip"), at), seen.get["skipped"]
     pull = pulls.read(name)
     if name == "fixtures_results":
         return load_results(house, landed.flatten_matches(pull), *history, at)
     flatten = {
         "fixtures_for_today": lambda: landed.flatten_matches(pull, logos=True),
-        "h2h_for_today2": lambda: landed.flatten_h2h(pull),
         "odds_for_today": lambda: landed.flatten_odds(pull, F.lit(odds_start)),
         "tournaments": lambda: landed.flatten_tournaments(pull),
         "standings": lambda: landed.flatten_standings(pull),
@@ -151,7 +177,7 @@ def run_daily(house: Warehouse, pulls: Landing, utc_hour: int, at: dt.datetime |
     """The automatic refresh; does nothing when the data is up to date. Tournaments and
     standings are loaded on Mondays."""
     as_of = pulls.run_date
-    due = incremental.load_ranges(tables.max_event_date(house.results()), as_of, utc_hour).first()
+    due = incremental.load_ranges(house.high_water(), as_of, utc_hour).first()
     if not due.needs_refresh:
         return []
     history = (due.history_start, due.history_stop)
@@ -172,15 +198,35 @@ def run_manual(house: Warehouse, pulls: Landing, names: tuple[str, ...] = ("fixt
 
 def merge_history_days(spark: SparkSession, path: str, analysis: DataFrame, as_of: dt.date,
                        per_model: bool = False) -> list[dt.date]:
-    """Merges the analysis into a history table partitioned by day.
+    """Merges the analysis into a history table partitioned by day. Where there is no
+    history yet, all bets of the analysis start it.
 
     Every change falls on a day the analysis holds, so only those partitions are read
     and rewritten. The list of days is bounded by the calendar. Returns them.
     """
     dated = analysis.select(F.to_date("event_date").alias("day")).dropna().distinct()
     days = sorted(row.day for row in dated.collect())
-    stored = tables.read_days(spark, path, analysis.schema)
-    touched = stored.filter(F.col(tables.DAY).isin(days)).select(*analysis.columns)
-    merged = history.merge_history(touched, analysis, as_of, per_model)
+    tables.publish_days(spark, path, analysis.schema)
+    if tables.has_days(spark, path):
+        stored = tables.read_days(spark, path, analysis.schema)
+        touched = stored.filter(F.col(tables.DAY).isin(days)).select(*analysis.columns)
+        merged = history.merge_history(touched, analysis, as_of, per_model)
+    else:
+        merged = history.initial_history(analysis).filter("event_date is not null")
     tables.overwrite_days(spark, path, merged, days)
     return days
+
+
+def run_analysis(house: Warehouse, analysis: DataFrame, as_of: dt.date, per_model: bool = False) -> list[Step]:
+    """The analysis run: replaces the stored analysis, then takes the stored rows into the
+    bet history (its start, or a merge). The selection of bets itself is an input."""
+
+    def keep() -> int:
+        return house.snapshot("main_todays_analysis").replace(analysis)
+
+    def remember() -> int:
+        stored = house.snapshot("main_todays_analysis").read()
+        return len(merge_history_days(house.spark, house.path("full_analysis_hist"), stored, as_of, per_model))
+
+    steps = [attempt("analysis", keep)]
+    return steps + [attempt("history", remember)] if steps[0].ok else steps

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from courtside.functions import formats, labels, numbers
 from courtside.operators import (
     constants, export, facets, filters, h2h, history, insights, mart, odds, players, records,
 )
-from courtside.plans import jobs
+from courtside.plans import daily, jobs
 from courtside.sources import derived, landed, tables
 from courtside.streaming import incremental
 
@@ -44,6 +45,11 @@ def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.full_mart(_star(spark, sf_dir).match_tables(), AS_OF, _loaded_at())
 
 
+def _place(order: list[str], *within: str) -> Column:
+    """A row's place in the order; over a whole frame only where that is a short list."""
+    return F.row_number().over(Window.partitionBy(*within).orderBy(*[F.asc_nulls_last(c) for c in order]))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label columns only: what the counts and choices read."""
     star = _star(spark, sf_dir)
@@ -125,7 +131,10 @@ def match_mart(spark, sf_dir):
 
 @_register
 def mart_in_order(spark, sf_dir):
-    return mart.in_reading_order(_mart(spark, sf_dir)).select("event_key", "event_date", "event_time", "p1_odds", "p2_odds")
+    """The rows in order, each with its place within its day."""
+    place = _place(["event_time", *mart.TIE_BREAKERS], "event_date")
+    rows = _mart(spark, sf_dir).withColumn("place", place)
+    return mart.in_reading_order(rows).select("event_key", "event_date", "event_time", "p1_odds", "p2_odds", "place")
 
 
 @_register
@@ -143,7 +152,9 @@ def mart_filtered(spark, sf_dir):
 
 @_register
 def facet_days(spark, sf_dir):
-    return facets.day_options(_labelled(spark, sf_dir))
+    """Each day with its place in the list."""
+    days = facets.day_options(_labelled(spark, sf_dir))
+    return days.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
 @_register
@@ -168,7 +179,9 @@ def analysis_facet_tournaments(spark, sf_dir):
 
 @_register
 def kpi_summary(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).withColumn("load_timestamp", _loaded_at())
+    """Every row has a load time of its own."""
+    loaded = F.timestamp_seconds(F.lit(895000000) + F.col("event_key") % 1000)
+    rows = _labelled(spark, sf_dir).withColumn("load_timestamp", loaded)
     return insights.kpi_summary(rows).withColumn(
         "last_refresh", F.date_format("last_refresh", "yyyy-MM-dd HH:mm:ss")
     )
@@ -176,7 +189,9 @@ def kpi_summary(spark, sf_dir):
 
 @_register
 def fixtures_by_day_status(spark, sf_dir):
-    return insights.counts_by_day_and_status(_labelled(spark, sf_dir))
+    """With each row's place in the result: a row per day and status."""
+    counts = insights.counts_by_day_and_status(_labelled(spark, sf_dir))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
 @_register
@@ -198,7 +213,7 @@ def top_tournaments(spark, sf_dir):
 def upcoming_next10(spark, sf_dir):
     shown = ["event_key", "event_date", "event_time", "event_first_player", "event_second_player", "p1_wins_h2h",
              "p1_perc_h2h", "p1_points", "p2_points"]
-    return insights.next_matches(_mart(spark, sf_dir)).select(*shown)
+    return jobs.next_matches(_star(spark, sf_dir).match_tables(), AS_OF, loaded_at=_loaded_at()).select(*shown)
 
 
 @_register
@@ -247,6 +262,20 @@ def analysis_filtered(spark, sf_dir):
     return rows.select("event_key", *filters.present(rows, filters.SUMMARY_COLUMNS))
 
 
+@_register
+def analysis_by_type_status(spark, sf_dir):
+    """Equality filters on a type and a status."""
+    rows = filters.filter_analysis(_analysis(spark, sf_dir), event_type="Singles", event_status="Finished", bets=filters.ALL)
+    return rows.select("event_key", "event_type", "event_status")
+
+
+@_register
+def analysis_summary(spark, sf_dir):
+    """The summary table, its flag as true or false."""
+    rows = _analysis(spark, sf_dir)
+    return filters.summary_table(rows).withColumn("flag_low_bet_value", F.col("flag_low_bet_value").cast("int"))
+
+
 @_register
 def bet_result(spark, sf_dir):
     return history.with_bet_outcome(_analysis(spark, sf_dir)).select("event_key", "event_date", "result_bet")
@@ -309,15 +338,136 @@ def load_ranges(spark, sf_dir):
 
 
 @_register
-def range_replace(spark, sf_dir):
-    """The month up to the run day comes anew, with retired matches only."""
+def load_ranges_monday(spark, sf_dir):
+    """A run day after all data, on a Monday: everything is due."""
+    high_water = tables.max_event_date(_star(spark, sf_dir).results)
+    return incremental.load_ranges(high_water, dt.date(2002, 1, 7), utc_hour=8)
+
+
+def _month_anew(spark, sf_dir):
+    """The month up to the run day comes anew, with retired matches only: what the load is."""
     current = _star(spark, sf_dir).results
     start = AS_OF - dt.timedelta(days=30)
     pulled = current.filter(F.col("event_day").between(F.lit(start), F.lit(AS_OF)) & (F.col("event_status") == "Retired"))
-    merged = tables.replace_range(current, pulled, start, AS_OF)
+    return current, pulled, start
+
+
+@_register
+def range_replace(spark, sf_dir):
+    merged = tables.replace_range(*_month_anew(spark, sf_dir), AS_OF)
     return merged.select("event_key", "event_date", "event_status", "event_winner")
 
 
+# Loads, written to the session's warehouse and read back
+
+
+def _stored_at(spark: SparkSession) -> str:
+    """A folder of its own for every run."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/courtside_{uuid.uuid4().hex}"
+
+
+def _full(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """With nulls for the fields of the table that the derived rows lack."""
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in rows.columns})
+
+
+@_register
+def range_replace_stored(spark, sf_dir):
+    """K2: the day-partitioned table, filled, then a range of it replaced."""
+    path = _stored_at(spark)
+    current, pulled, start = _month_anew(spark, sf_dir)
+    current, pulled = (x.drop("event_day") for x in (current, pulled))
+    bounds = current.agg(F.to_date(F.min("event_date")), F.to_date(F.max("event_date"))).first()
+    tables.replace_days(spark, path, current, *bounds)
+    tables.replace_days(spark, path, pulled, start, AS_OF)
+    return tables.read_days(spark, path, current.schema).select("event_key", "event_date", "event_status", "event_winner")
+
+
+@_register
+def snapshot_replace(spark, sf_dir):
+    """K1, K5: replaced as a whole; an empty load afterwards leaves the rows."""
+    rows = _star(spark, sf_dir).standings
+    table = tables.VersionedTable(spark, _stored_at(spark), rows.schema)
+    table.replace(rows.limit(1))
+    table.replace(rows)
+    table.replace(rows.filter(F.lit(False)), keep_if_empty=True)
+    return table.read()
+
+
+@_register
+def rows_appended(spark, sf_dir):
+    """K3: appended in two loads, NaN as null."""
+    path = _stored_at(spark)
+    price = F.when(F.col("l_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    rows = _star(spark, sf_dir).star("lineitem").select(F.col("l_orderkey").alias("event_key"), price.alias("price"))
+    for part in (0, 1):
+        tables.append_rows(rows.filter(F.col("event_key") % 2 == part), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@_register
+def history_first_run(spark, sf_dir):
+    """H5, K7: the analysis run on a history that does not exist yet, read back."""
+    house = daily.Warehouse(spark, _stored_at(spark))
+    rows = _analysis(spark, sf_dir)
+    daily.run_analysis(house, rows, AS_OF)
+    return house.bet_history(rows.schema).select(*rows.columns)
+
+
+@_register
+def history_merged_stored(spark, sf_dir):
+    """H4, K5: the stored history after an analysis run."""
+    house, star = daily.Warehouse(spark, _stored_at(spark)), _star(spark, sf_dir)
+    days = [r.day for r in star.history.select(F.to_date("event_date").alias("day")).distinct().collect()]
+    tables.overwrite_days(spark, house.path("full_analysis_hist"), star.history, days)
+    daily.run_analysis(house, star.analysis, AS_OF)
+    return house.bet_history(star.history.schema).select(*star.history.columns)
+
+
+@_register
+def constants_log(spark, sf_dir):
+    """K8: the stored log of all profiles after one more row, current values read back."""
+    house = daily.Warehouse(spark, _stored_at(spark))
+    tables.append_rows(_star(spark, sf_dir).constants, house.path("constants_main"))
+    house.append_constants({"nombre_constante": "default", "c_01": 7, "p_01": 0.5}, dt.datetime(2030, 1, 1, tzinfo=dt.timezone.utc))
+    return constants.latest_constants(house.constants()).select("nombre_constante", "c_01", "c_02", "p_01", "pm")
+
+
+@_register
+def daily_steps(spark, sf_dir):
+    """I4: the steps of a refresh over stored tables, one that fails among them."""
+    house, star = daily.Warehouse(spark, _stored_at(spark)), _star(spark, sf_dir)
+    at = dt.datetime(1998, 5, 14, 9)
+    bounds = star.results.agg(F.to_date(F.min("event_date")), F.to_date(F.max("event_date"))).first()
+    loads = {"fixtures_for_today": star.fixtures, "h2h_for_today2": star.h2h, "tournaments": star.tournaments,
+             "standings": star.standings, "odds_for_today": star.odds}
+    stored = lambda name, rows: daily.load_snapshot(house, name, _full(rows, house.SNAPSHOTS[name]), at)
+    steps = [daily.attempt("fixtures_results", lambda: daily.load_results(house, _full(star.results, schemas.FIXTURES_RESULTS), *bounds, at))]
+    steps += [daily.attempt(name, lambda name=name, rows=rows: stored(name, rows)) for name, rows in loads.items()]
+    steps.append(daily.attempt("no_such_table", lambda: stored("no_such_table", star.odds)))
+    steps += daily.refresh_tables(house, AS_OF, at)
+    return spark.createDataFrame([(s.name, s.ok, s.rows) for s in steps], "step string, ok boolean, step_rows long")
+
+
+@_register
+def sql_file_with_params(spark, sf_dir):
+    """S12: the statement comes from a file."""
+    path = _stored_at(spark)
+    text = "select event_status, count(*) as matches from courtside_matches where event_winner = ? group by event_status"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    _star(spark, sf_dir).matches.createOrReplaceTempView("courtside_matches")
+    return tables.run_sql_file(spark, path, ["Second Player"])
+
+
+@_register
+def catalog_table(spark, sf_dir):
+    """K4, K11: dropped and created from a query, under the catalog."""
+    name = f"courtside_{uuid.uuid4().hex}"
+    tables.ensure_table(spark, name, schemas.STANDINGS)
+    tables.create_table_as(_star(spark, sf_dir).tournaments, name)
+    return spark.table(name)
+
+
 @_register
 def constants_latest(spark, sf_dir):
     return constants.latest_constants(_star(spark, sf_dir).constants).drop("inserted_at")
@@ -325,7 +475,9 @@ def constants_latest(spark, sf_dir):
 
 @_register
 def constants_profiles(spark, sf_dir):
-    return constants.profile_names(_star(spark, sf_dir).constants).select("nombre_constante")
+    """In order of first use, each with its place in the list."""
+    names = constants.profile_names(_star(spark, sf_dir).constants).select("nombre_constante")
+    return names.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
 
 @_register
@@ -344,7 +496,9 @@ def sql_with_params(spark, sf_dir):
 
 @_register
 def export_spanish(spark, sf_dir):
-    return export.export_table(_mart(spark, sf_dir), ["event_key", *filters.TABLE_COLUMNS])
+    """With each row's place within its tournament."""
+    rows = _mart(spark, sf_dir).withColumn("place", _place(["event_time", *mart.TIE_BREAKERS], "tournament_name"))
+    return export.export_table(rows, ["event_key", *filters.TABLE_COLUMNS, "place"])
 
 
 @_register
@@ -395,10 +549,12 @@ def fixtures_json_flatten(spark, sf_dir):
 
 @_register
 def h2h_json_flatten(spark, sf_dir):
+    """One pair in nine has a meeting that is no object; it is skipped, the others load."""
     rows = _feed_matches(spark, sf_dir)
     meetings = F.array(_texts(rows))
     result = F.to_json(F.struct(meetings.alias("H2H"), meetings.alias("firstPlayerResults")))
-    return landed.flatten_h2h(rows.select(result.alias("result")))
+    result = F.when(F.col("event_key") % 9 == 0, F.replace(result, F.lit('"H2H":['), F.lit('"H2H":[5,'))).otherwise(result)
+    return landed.flatten_h2h(rows.select(result.alias("result")), on_bad="skip")
 
 
 @_register
@@ -423,16 +579,21 @@ def standings_union(spark, sf_dir):
 
 @_register
 def odds_json_flatten(spark, sf_dir):
-    """A response per price: some lack the away side, some have it blank, and all carry
-    another market of another shape."""
-    rows = _star(spark, sf_dir).odds
-    away = F.when(F.col("away_odds") > 1.05, F.col("away_odds").cast("string")).when(F.col("home_odds") > 1.05, "")
-    home_away = F.struct(
-        F.create_map("betting_house", F.col("home_odds").cast("string")).alias("Home"),
-        F.create_map("betting_house", away).alias("Away"),
+    """A response per price, with two events: some lack the away side, some have it blank or
+    zero, as number or as text; some prices are large or long; all carry another market of
+    another shape."""
+    rows = _star(spark, sf_dir).odds.withColumn("event_key", F.col("event_key").cast("string"))
+    home = F.when(F.col("event_key").endswith("7"), "123456789").when(F.col("event_key").endswith("5"), "1.2345678901").otherwise(
+        F.col("home_odds").cast("string"))
+    price = F.col("away_odds").cast("string")
+    away = (
+        F.when(F.col("event_key").endswith("2"), "0")                       # the number: no price
+        .when(F.col("event_key").endswith("3"), '"0"')                      # the text: a price
+        .when(F.col("away_odds") > 1.05, F.concat(F.lit('"'), price, F.lit('"')))
+        .when(F.col("home_odds") > 1.05, '""').otherwise("null")
     )
-    markets = F.struct(home_away.alias("Home/Away"), F.array(F.lit(1)).alias("Set Betting"))
-    result = F.to_json(F.create_map(F.col("event_key").cast("string"), markets))
+    event = F.format_string('{"Home/Away": {"Home": {"%s": "%s"}, "Away": {"%s": %s}}, "Set Betting": [1]}', "betting_house", home, "betting_house", away)
+    result = F.format_string('{"%s": %s, "0%s": {"Home/Away": []}}', "event_key", event, "event_key")
     return landed.flatten_odds(rows.select(result.alias("result")), F.lit("1998-05-13"))
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ODDS = T.DecimalType(14, 6)  # sums of a dozen still fit a long
-MONEY = T.DecimalType(12, 2)
+ODDS = T.DecimalType(24, 10)  # prices as landed
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -14,7 +13,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 _LONG, _TEXT, _TIME = T.LongType(), T.StringType(), T.TimestampType()
 
-# Fields of one match as the feed sends them, in feed order.
+# Names and order of fields, as the feeds send them.
 MATCH_FIELDS = [
     "event_key", "event_date", "event_time",
     "event_first_player", "first_player_key", "event_second_player", "second_player_key",
@@ -64,7 +63,7 @@ CONSTANTS = _struct(
     inserted_at=_TIME,
 )
 
-# Reading order of the wide per-match table.
+# Reading order of the wide per-match table.
 MART_COLUMNS = [
     "event_key", "event_date", "event_time", "event_status", "event_winner",
     "event_first_player", "first_player_key", "event_second_player", "second_player_key",

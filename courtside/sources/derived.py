@@ -91,7 +91,7 @@ class StarTables:
 
     @cached_property
     def fixtures(self) -> DataFrame:
-        """Matches from the day before the run day on."""
+        """Matches from the day before the run day on: the window that the table stands for."""
         return self.matches.filter(f"event_day >= date '{AS_OF - dt.timedelta(days=1)}'")
 
     @cached_property
@@ -108,9 +108,11 @@ class StarTables:
 
     @cached_property
     def standings(self) -> DataFrame:
-        """Customers with a balance below zero are unranked."""
-        ranked = self.star("customer").filter("c_acctbal >= 0")
-        return ranked.selectExpr("c_custkey as player_key", "cast(floor(c_acctbal) as string) as points")
+        """All customers. Some have no key in the feed, those with a balance below zero no points."""
+        return self.star("customer").selectExpr(
+            "if(c_custkey % 11 <> 0, c_custkey, null) as player_key",
+            "if(c_acctbal >= 0, cast(floor(c_acctbal) as string), null) as points",
+        )
 
     @cached_property
     def odds(self) -> DataFrame:
@@ -128,7 +130,8 @@ class StarTables:
 
     def _bets(self, rows: DataFrame, cons_every: int, *replaced: str) -> DataFrame:
         return rows.selectExpr(
-            "event_key", "event_date", "event_first_player", "event_second_player", replaced[0], "tournament_name",
+            "event_key", "event_date", "event_first_player", "event_second_player", replaced[0], "tournament_name", "event_status",
+            "case when event_type_type like '%Singles%' then 'Singles' when event_type_type like '%Doubles%' then 'Doubles' end as event_type",
             *replaced[1:], _cons_pick(cons_every),
             "case when event_key % 5 = 0 then 'Sin apuesta' when event_key % 5 = 1 then event_second_player"
             " when event_key % 5 <> 2 then event_first_player end as jugador_a_apostar_vb",
@@ -151,9 +154,9 @@ class StarTables:
 
     @cached_property
     def history(self) -> DataFrame:
-        """Bets on all typed matches, none settled."""
+        """Bets on all matches, none settled."""
         return self._bets(
-            self.matches.filter("event_type_type is not null"), 4, "cast(null as string) as event_winner",
+            self.matches, 4, "cast(null as string) as event_winner",
             "cast(2 as decimal(10,2)) as p1_odds", "cast(2 as decimal(10,2)) as p2_odds",
         )
 

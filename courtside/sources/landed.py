@@ -1,8 +1,14 @@
 """Landed API responses (JSON files) to typed rows.
 
-A response is ``{"result": ...}``. ``read_landed`` checks that every response is valid
-JSON and keeps ``result`` as text; the ``flatten_*`` functions give it its shape. A
-shape that does not fit (an empty list where an object is due) gives no rows.
+A response is ``{"result": ...}``. It is parsed once, to a variant; the ``flatten_*``
+functions explode it and take typed fields, and JSON types stay known till then.
+
+Nothing is lost silently. Empty forms of a result (an empty list or object, null, none at
+all) give no rows. A result of another shape, or an element that is no object, fails the
+load; head-to-head pulls, one response per pair, may instead skip and count such pairs.
+
+A response is one row and is parsed by one task, so large pulls should land as many
+lines or files.
 """
 
 from __future__ import annotations
@@ -13,95 +19,144 @@ from pyspark.sql import functions as F
 from courtside import schemas
 from courtside.functions.numbers import to_id, to_odds
 
+_LIST, _OBJECT = "array<variant>", "map<string,variant>"
+
+
+def _as(value: Column, kind: str) -> Column:
+    """The variant in that shape, null where it has another."""
+    return F.try_variant_get(value, "$", kind)
+
 
-def read_landed(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
-    """All responses under a path in one read, one row each, with the path's partition
-    columns. Malformed JSON fails the read, so a bad pull never replaces good rows.
+def read_landed(spark: SparkSession, path: str | list[str], multiline: bool = False, on_bad: str = "fail") -> DataFrame:
+    """All responses under a path in one read, one row each: ``result`` and the path's
+    partition columns. Text that is no JSON object fails the read, so a bad pull never
+    replaces good rows; with ``on_bad="skip"`` it gives a row with ``bad`` set.
 
     By default a response takes one line, which lets large files be split;
     ``multiline=True`` reads one response per file.
     """
-    reader = spark.read.schema("result string").option("mode", "FAILFAST")
-    return reader.option("multiLine", multiline).json(path)
+    if on_bad not in ("fail", "skip"):
+        raise ValueError(f"on_bad must be 'fail' or 'skip', not {on_bad!r}")
+    lines = spark.read.text(path, wholetext=multiline).filter(F.trim("value") != "")
+    rest = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(F.try_parse_json("value").alias("response"), *rest)
+    whole = _as(F.col("response"), _OBJECT).isNotNull()
+    result = F.try_variant_get("response", "$.result", "variant")
+    if on_bad == "skip":
+        return parsed.select(result.alias("result"), (~whole).alias("bad"), *rest)
+    checked = F.when(whole, result).otherwise(F.raise_error(F.lit("MALFORMED response: not a JSON object")))
+    return parsed.select(checked.alias("result"), *rest)
+
+
+def _parsed(landed: DataFrame) -> DataFrame:
+    """``result`` as a variant, for frames that hold it as text."""
+    return landed.withColumn("result", F.parse_json("result")) if dict(landed.dtypes)["result"] == "string" else landed
+
+
+def _is_empty(value: Column) -> Column:
+    size = F.coalesce(F.size(_as(value, _LIST)), F.size(_as(value, _OBJECT)), F.lit(-1))
+    return value.isNull() | F.is_variant_null(value) | (size == 0)
+
 
+def _fail(what: str, value: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"unexpected {what}: "), F.substring(F.to_json(value), 1, 200)))
 
-def _text_struct(fields: list[str]) -> str:
-    return "struct<" + ", ".join(f"{f}: string" for f in fields) + ">"
 
+def _elements(value: Column, what: str) -> Column:
+    """The objects of a list; whatever is neither a list of objects nor empty fails."""
+    items = F.transform(_as(value, _LIST), lambda v: F.when(_as(v, _OBJECT).isNotNull(), v).otherwise(_fail(f"element of {what}", v)))
+    return F.when(_as(value, _LIST).isNotNull(), items).when(~_is_empty(value), _fail(what, value))
 
-def _typed(df: DataFrame, fields: list[str], ids: list[str]) -> DataFrame:
-    return df.select(*[to_id(F.col(f"r.{f}")).alias(f) if f in ids else F.col(f"r.{f}") for f in fields])
 
+def _entries(value: Column, what: str) -> Column:
+    """The entries of an object; whatever is neither an object nor empty fails."""
+    entries = _as(value, _OBJECT)
+    return F.when(entries.isNotNull(), entries).when(~_is_empty(value), _fail(what, value))
 
-def _flatten_list(landed: DataFrame, items: Column, fields: list[str], ids: list[str]) -> DataFrame:
-    return _typed(landed.select(F.explode(items).alias("r")), fields, ids)
 
+def _typed(items: Column, fields: list[str], ids: list[str]) -> list[Column]:
+    text = {f: F.try_variant_get(items, f"$.{f}", "string") for f in fields}
+    return [(to_id(text[f]) if f in ids else text[f]).alias(f) for f in fields]
 
-def _list_of(fields: list[str]) -> Column:
-    return F.from_json("result", f"array<{_text_struct(fields)}>")
+
+def _flatten(landed: DataFrame, items: Column, fields: list[str], ids: list[str], *more: Column) -> DataFrame:
+    rows = landed.select(F.explode(items).alias("r"), *more)
+    return rows.select(*_typed(F.col("r"), fields, ids), *[c for c in rows.columns if c != "r"])
 
 
 def flatten_matches(landed: DataFrame, logos: bool = False) -> DataFrame:
     """Match rows; with both players' logos for the fixtures table."""
     fields = schemas.MATCH_FIELDS + (schemas.LOGO_FIELDS if logos else [])
-    return _flatten_list(landed, _list_of(fields), fields, schemas.MATCH_IDS)
+    return _flatten(_parsed(landed), _elements(F.col("result"), "matches"), fields, schemas.MATCH_IDS)
 
 
 def flatten_tournaments(landed: DataFrame) -> DataFrame:
-    return _flatten_list(
-        landed, _list_of(schemas.TOURNAMENT_FIELDS), schemas.TOURNAMENT_FIELDS, schemas.TOURNAMENT_IDS
-    )
+    items = _elements(F.col("result"), "tournaments")
+    return _flatten(_parsed(landed), items, schemas.TOURNAMENT_FIELDS, schemas.TOURNAMENT_IDS)
 
 
 def flatten_standings(landed: DataFrame, event_type: Column | None = None) -> DataFrame:
     """Standings of all event types in one frame, each row tagged with the type it was
     asked for: the ``event_type`` partition column of the path, unless given."""
-    tag = F.col("event_type") if event_type is None else event_type
-    rows = landed.select(F.explode(_list_of(schemas.STANDING_FIELDS)).alias("r"), tag.cast("string").alias("tag"))
-    return rows.select(
-        *[to_id(F.col("r.player_key")).alias(f) if f == "player_key" else F.col(f"r.{f}")
-          for f in schemas.STANDING_FIELDS],
-        F.col("tag").alias("event_type"),
+    tag = (F.col("event_type") if event_type is None else event_type).cast("string").alias("event_type")
+    return _flatten(_parsed(landed), _elements(F.col("result"), "standings"), schemas.STANDING_FIELDS, schemas.STANDING_IDS, tag)
+
+
+def _meetings() -> Column:
+    return F.try_variant_get("result", "$.H2H", "variant")
+
+
+def bad_pair(landed: DataFrame) -> Column:
+    """Whether a head-to-head response cannot be used: not readable, not an object, or
+    with meetings that are no list of objects."""
+    listed = _as(_meetings(), _LIST)
+    odd = F.exists(F.coalesce(listed, F.array().cast(_LIST)), lambda v: _as(v, _OBJECT).isNull())
+    shape = ~_is_empty(F.col("result")) & _as(F.col("result"), _OBJECT).isNull()
+    bad = shape | odd | (listed.isNull() & ~_is_empty(_meetings()))
+    return F.coalesce(F.col("bad") | bad, F.lit(True)) if "bad" in landed.columns else bad
+
+
+def flatten_h2h(landed: DataFrame, on_bad: str = "fail") -> DataFrame:
+    """Past meetings only: the ``H2H`` list of each response, all pairs at once. With
+    ``on_bad="skip"`` the pairs that ``bad_pair`` names are left out, the others load."""
+    landed = _parsed(landed)
+    if on_bad == "skip":
+        landed = landed.filter(~bad_pair(landed))
+    entries = _entries(F.col("result"), "head-to-head")
+    items = F.when(entries.isNotNull(), _elements(_meetings(), "meetings"))
+    return _flatten(landed, items, schemas.MATCH_FIELDS, schemas.MATCH_IDS)
+
+
+def is_truthy(value: Column) -> Column:
+    """Whether a JSON value counts as given: not null, false, the number zero, or empty
+    text, list or object. The text ``"0"`` counts."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind.rlike("^(ARRAY|OBJECT)"), ~_is_empty(value))
+        .when(kind == "VOID", False)
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
     )
 
 
-def flatten_h2h(landed: DataFrame) -> DataFrame:
-    """Past meetings only: the ``H2H`` list of each response, all pairs at once."""
-    shape = f"struct<H2H: array<{_text_struct(schemas.MATCH_FIELDS)}>>"
-    meetings = F.from_json("result", shape).getField("H2H")
-    return _flatten_list(landed, meetings, schemas.MATCH_FIELDS, schemas.MATCH_IDS)
-
-
-_MARKET = "struct<`Home/Away`: struct<Home: map<string, string>, Away: map<string, string>>>"
-
-
-def _event_markets() -> Column:
-    """Event key -> its Home/Away market. A response parses in one go when all its
-    events fit; one odd event would lose the whole, so then each is parsed by itself."""
-    whole = F.from_json("result", f"map<string, {_MARKET}>")
-    texts = F.from_json("result", "map<string, string>")
-    return F.coalesce(whole, F.transform_values(texts, lambda _, event: F.from_json(event, _MARKET)))
-
-
 def flatten_odds(landed: DataFrame, date_start: Column | None = None) -> DataFrame:
     """One row per event and house with a price on both sides of the Home/Away market.
 
     ``event_date`` is the first day asked for, the same on every row of a pull: the
     ``date_start`` partition column of the path, unless given.
     """
-    day = F.col("date_start") if date_start is None else date_start
-    events = landed.select(
-        F.explode(_event_markets()).alias("event_key", "event"), day.cast("string").alias("event_date")
-    )
-    market = F.col("event").getField("Home/Away")
-    prices = events.select(
-        "event_key", "event_date", market["Away"].alias("away"),
-        F.explode(market["Home"]).alias("betting_house", "home_odds"),
-    ).withColumn("away_odds", F.try_element_at("away", "betting_house"))
-    return prices.filter(F.col("away_odds") != "").select(
+    day = (F.col("date_start") if date_start is None else date_start).cast("string").alias("event_date")
+    events = _parsed(landed).select(F.explode(_entries(F.col("result"), "odds")).alias("event_key", "event"), day)
+    events = events.filter(_entries(F.col("event"), "event").isNotNull())
+    market = F.try_variant_get("event", "$['Home/Away']", "variant")
+    markets = events.select("event_key", "event_date", market.alias("market")).filter(_entries(F.col("market"), "market").isNotNull())
+    side = lambda name: _entries(F.try_variant_get("market", f"$.{name}", "variant"), f"{name} prices")
+    prices = markets.select("event_key", "event_date", side("Away").alias("away"), F.explode(side("Home")).alias("betting_house", "home"))
+    prices = prices.withColumn("away", F.try_element_at("away", "betting_house")).filter(is_truthy(F.col("away")))
+    return prices.select(
         to_id(F.col("event_key")).alias("event_key"), "betting_house",
-        to_odds(F.col("home_odds")).alias("home_odds"), to_odds(F.col("away_odds")).alias("away_odds"),
-        "event_date",
+        *[to_odds(F.try_variant_get(s, "$", "string")).alias(f"{s}_odds") for s in ("home", "away")], "event_date",
     )
 
 

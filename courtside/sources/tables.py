@@ -26,6 +26,12 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def _drop_folder(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder on whatever storage it lies; false if there was none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class VersionedTable:
     """A table replaced as a whole. Each load writes a directory of its own, then adds
     one row to a small commit log; readers follow the log, so they see the old table or
@@ -65,6 +71,17 @@ class VersionedTable:
             entry.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return count
 
+    def expire(self, keep: int) -> list[int]:
+        """Deletes the folders below the newest ``keep`` committed versions, those of empty
+        loads included, and returns their numbers. Never called by a load: readers may
+        still hold an older version."""
+        if keep < 1:
+            raise ValueError("the newest version has to stay")
+        log = read_or_empty(self.spark, f"{self.path}/commits", self._LOG)
+        newest = [r.version for r in log.select("version").distinct().orderBy(F.desc("version")).limit(keep).collect()]
+        old = range(1, min(newest)) if len(newest) == keep else range(0)
+        return [v for v in old if _drop_folder(self.spark, self._data(v))]
+
 
 DAY = "event_day"
 
@@ -75,15 +92,63 @@ def _with_day(schema: T.StructType) -> T.StructType:
 
 def read_days(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A history table partitioned by ``event_day``, the day of ``event_date``. Filters
-    on ``event_day`` prune partitions. The marker rows of emptied days are left out."""
+    on ``event_day`` prune partitions. The marker rows of emptied days are left out.
+
+    Days that are staged but not yet published are read from their staged copy, so a
+    change shows as a whole from the moment it is logged."""
     table = read_or_empty(spark, path, _with_day(schema))
+    version, published = _staged_versions(spark, path)
+    if version > published:
+        staged = _staged(spark, path, version, schema)
+        days = staged.select(F.col(DAY).alias("day")).distinct()
+        table = table.join(days, F.col(DAY).eqNullSafe(F.col("day")), "left_anti").unionByName(staged)
     return table.filter(F.col(DAY).isNull() | F.col("event_date").isNotNull())
 
 
-def _write_days(rows: DataFrame, path: str, mode: str) -> None:
+def has_days(spark: SparkSession, path: str) -> bool:
+    """Whether anything was ever written there."""
+    return _staged_versions(spark, path)[0] > 0
+
+
+_STAGE_LOG = T.StructType([T.StructField("version", T.LongType()), T.StructField("published", T.BooleanType())])
+
+
+def _staged_versions(spark: SparkSession, path: str) -> tuple[int, int]:
+    """The newest staged version and the newest published one, 0 for none."""
+    log = read_or_empty(spark, f"{path}_staged/log", _STAGE_LOG)
+    row = log.agg(F.max("version").alias("staged"), F.max(F.when(F.col("published"), F.col("version"))).alias("published")).first()
+    return row.staged or 0, row.published or 0
+
+
+def _log_stage(spark: SparkSession, path: str, version: int, published: bool) -> None:
+    entry = spark.createDataFrame([(version, published)], _STAGE_LOG)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}_staged/log")
+
+
+def _staged(spark: SparkSession, path: str, version: int, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(_with_day(schema)).parquet(f"{path}_staged/version={version}")
+
+
+def publish_days(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    """Writes the logged but unpublished days, if any, into the table. Safe to repeat: the
+    staged copy is complete and is not read from the table it replaces."""
+    version, published = _staged_versions(spark, path)
+    if version == published:
+        return False
+    rows = _staged(spark, path, version, schema)
     # Rebalancing by day gives few files per day and still splits a very large day.
-    writer = rows.hint("rebalance", DAY).write.mode(mode).partitionBy(DAY)
+    writer = rows.hint("rebalance", DAY).write.mode("overwrite").partitionBy(DAY)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    _log_stage(spark, path, version, True)
+    return True
+
+
+def _switch_days(spark: SparkSession, path: str, rows: DataFrame, version: int) -> None:
+    """Replaces the days that the rows hold: staged, logged (from here on readers see
+    them), then published. A run that stops in between is completed by the next one."""
+    rows.write.mode("overwrite").parquet(f"{path}_staged/version={version}")
+    _log_stage(spark, path, version, False)
+    publish_days(spark, path, rows.schema)
 
 
 def _day_markers(spark: SparkSession, days: DataFrame, schema: T.StructType) -> DataFrame:
@@ -96,28 +161,37 @@ def _day_markers(spark: SparkSession, days: DataFrame, schema: T.StructType) ->
 def replace_days(spark: SparkSession, path: str, rows: DataFrame, start: dt.date, stop: dt.date) -> int:
     """Replaces the days from start to stop by a load; other days are not touched.
 
-    An empty load changes nothing. Rows the load has outside its own range are
-    appended, as nothing of theirs was deleted. Returns the rows loaded, counted on the
-    way through, so that the load is computed once.
+    An empty load changes nothing. Rows the load has outside its own range are added to
+    their days, as nothing of theirs was deleted; all of it shows at once. The load is
+    computed once, into the staging folder. Returns its rows.
     """
-    if rows.isEmpty():
-        return 0
+    schema = rows.schema
+    publish_days(spark, path, schema)
+    version = _staged_versions(spark, path)[0] + 1
+    landing = f"{path}_staged/load={version}"
+    rows.withColumn(DAY, F.to_date("event_date")).write.mode("overwrite").parquet(landing)
+    load = spark.read.schema(_with_day(schema)).parquet(landing)
     inside = F.coalesce(F.col(DAY).between(F.lit(start), F.lit(stop)), F.lit(False))
-    rows = rows.withColumn(DAY, F.to_date("event_date"))
-    seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(~inside).alias("outside"))
+    counts = load.agg(F.count(F.lit(1)).alias("all"), F.count_if(~inside).alias("outside")).first()
+    if not counts["all"]:
+        return 0
     span = spark.range((stop - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"))
-    _write_days(counted.filter(inside).unionByName(_day_markers(spark, span, rows.schema)), path, "overwrite")
-    if seen.get["outside"]:
-        _write_days(rows.filter(~inside), path, "append")
-    return seen.get["all"]
+    staged = load.unionByName(_day_markers(spark, span, load.schema))
+    if counts["outside"]:
+        others = load.filter(~inside).select(F.col(DAY).alias("day")).distinct()
+        kept = read_days(spark, path, schema).join(others, F.col(DAY).eqNullSafe(F.col("day")), "left_semi")
+        staged = staged.unionByName(kept)
+    _switch_days(spark, path, staged, version)
+    return counts["all"]
 
 
 def overwrite_days(spark: SparkSession, path: str, rows: DataFrame, days: Sequence[dt.date]) -> None:
     """Replaces exactly the given days by the given rows of those days."""
+    publish_days(spark, path, rows.schema)
     listed = spark.createDataFrame([(d,) for d in days], "day date")
     rows = rows.withColumn(DAY, F.to_date("event_date"))
-    _write_days(rows.unionByName(_day_markers(spark, listed, rows.schema)), path, "overwrite")
+    version = _staged_versions(spark, path)[0] + 1
+    _switch_days(spark, path, rows.unionByName(_day_markers(spark, listed, rows.schema)), version)
 
 
 def replace_range(current: DataFrame, rows: DataFrame, start: dt.date, stop: dt.date) -> DataFrame:
@@ -159,10 +233,22 @@ def max_event_date(matches: DataFrame) -> DataFrame:
     return matches.agg(F.max("event_date").alias("max_event_date"))
 
 
+def high_water(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The highest date text of a stored history, read from its newest day and the rows
+    without a day alone. Days rule: of texts that name other days than their order
+    suggests (unpadded ones) those of the newest day count. Should the newest day be
+    empty, all days are read."""
+    newest = read_or_empty(spark, path, _with_day(schema)).agg(F.max(DAY)).first()[0]
+    table = read_days(spark, path, schema)
+    top = max_event_date(table.filter(F.col(DAY).isNull() | (F.col(DAY) == F.lit(newest))))
+    emptied = newest is None or table.filter(F.col(DAY) == F.lit(newest)).isEmpty()
+    return max_event_date(table) if emptied else top
+
+
 def run_sql(spark: SparkSession, text: str, params: Sequence | None = None) -> DataFrame:
     """One statement with positional ``?`` parameters."""
-    if not text or not text.strip():
-        raise ValueError("Query is empty")
+    if text.isspace() or not text:
+        raise ValueError("no statement to run")
     return spark.sql(text, args=list(params) if params else None)
 
 

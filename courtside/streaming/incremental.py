@@ -11,7 +11,6 @@ REFRESH_HOUR_UTC = 8
 
 # Days relative to the run day, (first, last).
 FIXTURE_DAYS = (-1, 2)
-MANUAL_FIXTURE_DAYS = (-1, 4)
 MANUAL_HISTORY_DAYS = (-2, -1)
 ODDS_DAYS = (-1, 5)
 

@@ -124,4 +124,4 @@ def test_merge_by_days_starts_an_empty_history(spark, tmp_path):
     _, analysis = sample(spark)
     daily.merge_history_days(spark, str(tmp_path / "h"), analysis, AS_OF)
     stored = tables.read_days(spark, str(tmp_path / "h"), analysis.schema)
-    assert rows(stored, "event_key") == [(5,), (7,)]
+    assert rows(stored, "event_key") == [(1,), (5,), (7,)]  # all bets, past ones too

@@ -179,7 +179,6 @@ def test_load_ranges(spark):
     assert (row.odds_start, row.odds_stop) == (D(2024, 3, 14), D(2024, 3, 20))
     assert ranges(spark, None).history_start == D(2024, 3, 14) and ranges(spark, "soon").needs_refresh
     assert not row.refresh_dimensions and ranges(spark, None, as_of=D(2024, 3, 18)).refresh_dimensions
-    assert incremental.days_from(AS_OF, incremental.MANUAL_FIXTURE_DAYS) == (D(2024, 3, 14), D(2024, 3, 19))
     assert incremental.days_from(AS_OF, incremental.MANUAL_HISTORY_DAYS) == (D(2024, 3, 13), D(2024, 3, 14))
 
 
