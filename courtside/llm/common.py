@@ -20,18 +20,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``. Unset, as in tests: a
     temporary folder for a local master, else a folder in the warehouse, which is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        folder = tempfile.mkdtemp(prefix="courtside-")
-    else:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="courtside-"))
+    return _OWN_FOLDER[0]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -250,7 +250,8 @@ def test_toxicity_learns_words_in_either_order():
 
 def test_network_gradients_are_right():
     network = quality.Network()
-    docs, labels = [quality.chunks(b"abc" * 300), quality.chunks(b"!! x" * 40)], np.array([1.0, 0.0], np.float32)
+    noise = np.random.default_rng(8)  # no two places alike, so the largest response is one place
+    docs, labels = [quality.chunks(noise.bytes(n)) for n in (900, 160)], np.array([1.0, 0.0], np.float32)
 
     def loss():
         pooled = np.concatenate([network.pooled(d) for d in docs])
@@ -262,7 +263,7 @@ def test_network_gradients_are_right():
     for name in ("filters", "embed", "shift", "bias"):
         value = getattr(network, name)
         for at in rng.choice(value.size, min(5, value.size), replace=False):
-            old, step = value.flat[at], 1e-2
+            old, step = value.flat[at], 2e-3
             value.flat[at] = old + step
             up = loss()
             value.flat[at] = old - step
@@ -301,8 +302,11 @@ def test_estimation_finds_the_reliable_labeler():
         votes = tuple(int(truth if rng.random() < p else not truth) for p in (0.95, 0.9, 0.6))
         counts[votes] = counts.get(votes, 0) + 1
     belief = pii.estimate([(0, v, (0, 0, 0), n) for v, n in counts.items()])
-    assert belief[0, (1, 1, 0)] > 0.9 > 0.5 > belief[0, (1, 0, 1)] > belief[0, (0, 0, 1)]
-    assert belief[0, (0, 0, 1)] < 0.1
+    for votes, found in ((v, b) for (_, v), b in belief.items()):
+        odds = 0.3 / 0.7
+        for vote, right in zip(votes, (0.95, 0.9, 0.6)):
+            odds *= right / (1 - right) if vote else (1 - right) / right
+        assert found == pytest.approx(odds / (1 + odds), abs=0.15)
 
 
 def test_spans_in_crowded_texts(spark):
@@ -323,10 +327,7 @@ def test_reputation_shrinks_to_the_level_above(spark):
     assert all(r.bad_low < r.bad_mean for r in got.values())
 
 
-def test_stored_tables_lie_in_the_named_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/named")
-    try:
-        assert stored(spark.range(3), "x").count() == 3 and list((tmp_path / "named").iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_stored_tables_lie_in_the_named_folder(spark, tmp_path, monkeypatch):
+    named = f"file://{tmp_path}/named"
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: named if key == "spark.checkpoint.dir" else None)
+    assert stored(spark.range(3), "x").count() == 3 and list((tmp_path / "named").iterdir())
