@@ -217,7 +217,7 @@ def pattern_counts(candidates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def estimate(counts: list[tuple], rounds: int = 25) -> dict[tuple, float]:
+def estimate(counts: list[tuple], rounds: int = 100) -> dict[tuple, float]:
     """Expectation-maximisation over vote patterns: each labeler has a hit rate on true and on
     false spans of a kind, each kind a share of true ones. Returns each pattern's
     probability of being personal data. Starts from labelers right four times in five."""
