@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a k-mer and of its inner substrings; hashes kept in a fingerprint.
@@ -60,50 +60,67 @@ def likeness(one: str, other: str) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.size(union)).cast("double")
 
 
-def next_heads(docs: DataFrame) -> DataFrame:
-    """For each distinct non-null doc_id the next one's text head and sketch, as ``key_id``,
-    ``head`` (as many code points as a quarter of the longest text of that id) and
-    ``next_sketch``. After the last id comes the first. Input: doc_id, text, sketch.
+#: Ranges of ids at most: bounds the table of their first ids, which is broadcast.
+MAX_RANGES = 1 << 16
+_SEGMENTS = 64
 
-    Only ids are put in a global order: by ranges, then within each; the ranges' first ids
-    (one row a partition) close the gaps between them. Of rows that share the next id the
-    one with the smallest text hash serves.
+
+def _range_of(ids: DataFrame) -> tuple[Column, int]:
+    """A range number that rises with doc_id, about 32 rows to a range. Ids are cut at
+    quantiles, then evenly between them, so that ids that crowd together are split too."""
+    row = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                  F.percentile_approx("doc_id", [i / _SEGMENTS for i in range(1, _SEGMENTS)], 10_000).alias("cuts")).first()
+    if not row.n:
+        return F.lit(0).cast("long"), 1
+    lows = sorted({row.low, *row.cuts})
+    each = max(1, min(MAX_RANGES, row.n // 32) // len(lows))
+    highs = [*lows[1:], row.high + 1]
+    widths = [-(-(high - low) // each) for low, high in zip(lows, highs)]
+    pick = lambda values, at: F.get(F.array(*[F.lit(v).cast("decimal(20,0)") for v in values]), at)
+    at = F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in lows]), lambda low: low <= F.col("doc_id"))) - 1
+    inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - pick(lows, at)) / pick(widths, at))
+    return (at * each + inside).cast("long"), each * len(lows)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Adds the next document's ``next_text`` and ``next_sketch``, in the order of doc_id, then of
+    a hash of the text; after the last comes the first. Input: doc_id (not null), text.
+
+    The documents are dealt once, by ranges of ids, and each row reads its successor within
+    its range. The first id of each range goes along to the range before: these are one
+    row a range, at most ``MAX_RANGES``, and so small enough to broadcast.
     """
-    from pyspark.sql import Window
-
-    from courtside.llm.common import stored
-
-    spark = docs.sparkSession
-    ids = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = stored(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    within = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first_id"))  # at most one row a partition
-    every = Window.partitionBy(F.lit(0)).orderBy("part")
-    firsts = firsts.select("part", F.lead("first_id").over(every).alias("after"), F.min("first_id").over(
-        Window.partitionBy(F.lit(0))).alias("first_of_all"))
-    links = within.join(F.broadcast(firsts), "part").select(
-        F.col("doc_id").alias("key_id"), "need", F.coalesce("next_id", "after", "first_of_all").alias("doc_id"))
-    heads = docs.join(links, "doc_id").select(
-        "key_id", F.struct(F.xxhash64("text").alias("draw"), F.expr("substring(text, 1, cast(need as int))").alias("head"), "sketch").alias("found"))
-    return heads.groupBy("key_id").agg(F.min("found").alias("found")).select(
-        "key_id", F.col("found.head").alias("head"), F.col("found.sketch").alias("next_sketch"))
+    number, _ = _range_of(docs.select("doc_id"))
+    ranged = docs.withColumn("range", number)
+    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"))
+    every = Window.orderBy("range")
+    before = F.coalesce(F.lag("range").over(every), F.max("range").over(Window.partitionBy(F.lit(0))))
+    firsts = firsts.withColumn("before", before).select(F.col("first_id").alias("doc_id"), "before")
+    shown = F.array(F.struct(F.lit(0).alias("guest"), F.col("range")), F.struct(F.lit(1).alias("guest"), F.col("before").alias("range")))
+    seats = ranged.join(F.broadcast(firsts), "doc_id", "left").withColumn(
+        "seat", F.explode(F.when(F.col("before").isNull(), F.slice(shown, 1, 1)).otherwise(shown)))
+    seats = seats.select("doc_id", "text", F.col("seat.guest").alias("guest"), F.col("seat.range").alias("range"))
+    # Dealt first, sketched then: the anchors need not travel.
+    dealt = seats.repartition("range")
+    dealt = with_syncmers(dealt).withColumn("sketch", sketch("syncmers")).withColumn("draw", F.xxhash64("text")).drop("syncmers")
+    order = Window.partitionBy("range").orderBy("guest", "doc_id", "draw")
+    found = dealt.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
+    return found.where("guest = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Every row's fingerprint, that of its edited text (the last quarter replaced by the
     beginning of the next document) and the likeness of its own to the edited text's and to the
     next document's. Rows with a null id have no next document: nothing is replaced
-    and ``near_next`` is null. Other columns are ignored; repeated rows stay."""
+    and ``near_next`` is null. Rows that share an id follow each other by a hash of their texts.
+    Other columns are ignored; repeated rows stay."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_syncmers(rows).withColumn("sketch", sketch("syncmers")).drop("syncmers")
-    known = rows.where("doc_id is not null")
-    paired = known.join(next_heads(known), F.col("doc_id") == F.col("key_id"), "left").drop("key_id")
-    alone = rows.where("doc_id is null").withColumns({"head": F.lit(None).cast("string"), "next_sketch": F.lit(None).cast("array<bigint>")})
-    both = paired.unionByName(alone).withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.when(F.col("head").isNull(), F.lit(0)).otherwise(F.floor(F.col("n_chars") / 4)).cast("int")
+    alone = with_syncmers(rows.where("doc_id is null")).withColumn("sketch", sketch("syncmers")).select(
+        "doc_id", "text", "sketch", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_sketch"))
+    both = with_next(rows.where("doc_id is not null")).unionByName(alone).withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.when(F.col("next_text").isNull(), F.lit(0)).otherwise(F.floor(F.col("n_chars") / 4)).cast("int")
     both = both.withColumn("cut", cut).withColumn("edited", F.expr(
-        "concat(substring(text, 1, cast(n_chars as int) - cut), coalesce(substring(head, 1, cut), ''))")).drop("text", "head")
+        "concat(substring(text, 1, cast(n_chars as int) - cut), coalesce(substring(next_text, 1, cut), ''))")).drop("text", "next_text")
     both = with_syncmers(both, "edited").withColumn("edited_sketch", sketch("syncmers"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"),
