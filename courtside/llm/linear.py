@@ -41,4 +41,5 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
     # Repartitioned, not coalesced: the scan of the documents stays spread over all tasks.
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first().model)
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(row.model) if row else fit([], [])  # an empty table may leave no task at all

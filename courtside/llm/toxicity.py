@@ -69,8 +69,9 @@ def train(texts: list[str], labels: list[int]) -> bytes:
         key = np.unique(owner * DIMENSIONS + number)  # each feature once per text
         cut = np.searchsorted(key // DIMENSIONS, np.arange(len(part) + 1))
         seen += [np.append(key[a:b] % DIMENSIONS, DIMENSIONS) for a, b in zip(cut, cut[1:])]
-    order, toxic = np.random.default_rng(7), max(1, sum(labels))
-    importance = (max(1.0, (max(1, len(labels) - toxic) / toxic) ** -0.5), max(1.0, ((len(labels) - toxic) / toxic) ** 0.5))
+    order, toxic = np.random.default_rng(7), sum(labels)
+    lack = max(1, len(labels) - toxic) / max(1, toxic)
+    importance = max(1.0, lack**-0.5), max(1.0, lack**0.5)
     for _ in range(EPOCHS):
         for i in order.permutation(len(seen)):
             model.update(seen[i], labels[i], importance[labels[i]])
