@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -143,6 +144,12 @@ class ByteBPE:
         return out
 
 
+@lru_cache(maxsize=2)
+def codec_for(ranks: bytes, pattern: str) -> ByteBPE:
+    """One coder per worker process, kept from task to task."""
+    return ByteBPE(ranks, pattern)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = False, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int) and, if asked, ``offsets`` (array of start and end in code
     points) to each row. A null text is empty and has no ids; rows keep their number
@@ -154,7 +161,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = Fal
     fields += [T.StructField("offsets", T.ArrayType(pair))] if with_offsets else []
 
     def work():
-        codec = ByteBPE(shared.value, pattern)
+        codec = codec_for(shared.value, pattern)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [x or "" for x in batch.column(at).to_pylist()]
@@ -176,7 +183,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") ->
     at = encoded.columns.index(ids)
 
     def work():
-        codec = ByteBPE(shared.value, pattern)
+        codec = codec_for(shared.value, pattern)
         return lambda batch: [pa.array([codec.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())]
 
     return map_batches(encoded, work, [T.StructField("decoded", T.BinaryType())])
@@ -193,7 +200,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
               T.StructField("decoded_sha256", T.StringType())]
 
     def work():
-        codec = ByteBPE(shared.value, pattern)
+        codec = codec_for(shared.value, pattern)
         decimal = {number: str(number) for number in codec.token_bytes}.__getitem__
         digest = lambda raw: hashlib.sha256(raw).hexdigest()
 
