@@ -49,6 +49,10 @@ class _Windows:
         return self.shingle[(most == self.shingle) & (most > 0)] if len(self.whole) else self.shingle[:0]
 
 
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def _rolling(values: np.ndarray, size: int, step: np.uint64) -> np.ndarray:
     out = np.zeros(len(values) - size + 1, np.uint64)
     for i in range(size):
@@ -127,7 +131,9 @@ def repeated_cells(texts: DataFrame, window: int, anchor: int, cells: int) -> by
     return bytes(out)
 
 
-_KEYED = "w1 long, w2 long, doc_id long, tag int, start int, length int, known boolean"
+# Four longs a row, as this is what travels most. ``place`` is the text's tag and the start.
+# ``w2`` is not negative, but for runs that are known to repeat: less than zero, their length.
+_KEYED = "w1 long, w2 long, doc_id long, place long"
 
 
 def _estimated_repeated(sketch, window: int, anchor: int, cells: int):
@@ -138,10 +144,9 @@ def _estimated_repeated(sketch, window: int, anchor: int, cells: int):
     window that very many documents share gives each task one row.
     """
 
-    def batch_of(w1, w2, doc, tag, start, length, known) -> pa.RecordBatch:
-        columns = [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), doc, pa.array(tag), pa.array(start.astype(np.int32)),
-                   pa.array(length.astype(np.int32)), pa.array(known)]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _KEYED.split(", ")])
+    def batch_of(w1, w2, doc, tag, start) -> pa.RecordBatch:
+        place = tag.astype(np.int64) << 32 | start
+        return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2), doc, pa.array(place)], _names(_KEYED))
 
     def reduced(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc = pa.concat_arrays([h[0] for h in held])
@@ -154,10 +159,9 @@ def _estimated_repeated(sketch, window: int, anchor: int, cells: int):
         new_window[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
         head = np.maximum.accumulate(np.where(new_window, np.arange(len(order)), 0))
         tie = (ids == ids[head]) & (absent == absent[head]) & (tag == tag[head]) & (start == start[head])
-        ones = np.ones(len(order), np.int32)
         for at in range(0, len(order), 1 << 18):  # heads (with copies of the very same row)
             pick = np.flatnonzero(tie[at : at + (1 << 18)]) + at
-            yield batch_of(w1[pick], w2[pick], doc.take(pa.array(pick)), tag[pick], start[pick], ones[pick], np.zeros(len(pick), bool))
+            yield batch_of(w1[pick], w2[pick].astype(np.int64), doc.take(pa.array(pick)), tag[pick], start[pick])
         late = np.flatnonzero(~tie)
         if len(late):
             late = late[np.lexsort((start[late], tag[late], ids[late], absent[late]))]
@@ -169,7 +173,7 @@ def _estimated_repeated(sketch, window: int, anchor: int, cells: int):
             pick = late[cut]
             length = start[late[last]] - start[pick] + 1
             spread = mix(mix(ids[pick].astype(np.uint64)) ^ start[pick].astype(np.uint64))  # anywhere: nothing to compare
-            yield batch_of(spread, mix(spread), doc.take(pa.array(pick)), tag[pick], start[pick], length, np.ones(len(pick), bool))
+            yield batch_of(spread, -length.astype(np.int64), doc.take(pa.array(pick)), tag[pick], start[pick])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sketch.value, np.uint8)
@@ -192,7 +196,7 @@ def _estimated_repeated(sketch, window: int, anchor: int, cells: int):
                 owner = w.owner[start]
                 doc = batch.column(0).take(pa.array(owner + a))
                 absent = np.asarray(doc.is_null())
-                held.append((doc, mix(w1), w2, tags[owner + a], start - w.first[owner], absent))
+                held.append((doc, mix(w1), w2 >> np.uint64(1), tags[owner + a], start - w.first[owner], absent))
                 size += len(start)
                 if size >= _TASK_ROWS:
                     yield from reduced(held)
@@ -208,11 +212,13 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     of each document that also start earlier. Input: doc_id, tag, text."""
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, anchor, cells))
     found = docs.select("doc_id", "tag", "text").mapInArrow(_estimated_repeated(sketch, window, anchor, cells), _KEYED)
-    # The window's exact group is that of its 128-bit key. Rank, not row number: copies of
+    # The window's exact group is that of its 127-bit key. Rank, not row number: copies of
     # the very same row are not earlier than each other.
-    place = F.rank().over(Window.partitionBy("w1", "w2").orderBy(F.col("doc_id").asc_nulls_last(), "tag", "start"))
-    late = found.withColumn("place", place).where("known or place > 1")
-    return late.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    rank = F.rank().over(Window.partitionBy("w1", "w2").orderBy(F.col("doc_id").asc_nulls_last(), "place"))
+    late = found.withColumn("rank", rank).where("w2 < 0 or rank > 1")
+    tag, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    length = F.when(F.col("w2") < 0, -F.col("w2")).otherwise(1).cast("int")
+    return late.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(F.struct(start.alias("start"), length.alias("length"))).alias("runs"))
 
 
 def _marked(docs: DataFrame, window: int, anchor: int, cells: int) -> DataFrame:
