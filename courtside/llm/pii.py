@@ -315,10 +315,10 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def mask(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; spans that overlap become
-    one, by the first one's kind. A null text stays null. Columns as given. Two passes over
-    the texts: one to fit, one to mask."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    found = with_candidates(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+    one, by the first one's kind. A null text stays null. Columns as given. The rows are stored
+    once with their candidates: the fit reads the candidates, the masking both."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    found = stored(with_candidates(rows).select("row", "spans"), "candidates").withColumn("text", F.coalesce(F.col("row")[text], F.lit("")))
     model = fit(found)
     found = found.withColumn("_cut", apart(accepted(model, threshold)))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
