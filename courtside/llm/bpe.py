@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from courtside.llm.common import map_batches
 
 #: Distinct chunks of text that a task remembers with their ids; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -150,27 +151,36 @@ def codec_for(ranks: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = False, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = False, with_decoded: bool = False,
+           text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int) and, if asked, ``offsets`` (array of start and end in code
-    points) to each row. A null text is empty and has no ids; rows keep their number
-    and other columns; input columns of these names are replaced."""
+    points) and ``decoded`` (the bytes that the ids give back, in the same pass) to each row.
+    A null text is empty and has no ids; rows keep their number and other columns; input
+    columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     at = docs.columns.index(text)
     pair = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("offsets", T.ArrayType(pair))] if with_offsets else []
+    fields += [T.StructField("decoded", T.BinaryType())] if with_decoded else []
 
     def work():
         codec = codec_for(shared.value, pattern)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            ids = codec.encode(texts)
-            arrays = [pa.array(ids, pa.list_(pa.int32()))]
-            if with_offsets:
-                spans = [[{"start": a, "end": b} for a, b in codec.offsets(t, i)] for t, i in zip(texts, ids)]
-                arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            return arrays
+            numbers, ends, spans, decoded = [np.empty(0, np.int32)], [0], [], []
+            for start in range(0, batch.num_rows, 128):  # few at a time: lists of numbers are large
+                texts = [x or "" for x in batch.column(at).slice(start, 128).to_pylist()]
+                for value, ids in zip(texts, codec.encode(texts)):
+                    numbers.append(np.array(ids, np.int32))
+                    ends.append(ends[-1] + len(ids))
+                    if with_offsets:
+                        spans.append([{"start": a, "end": b} for a, b in codec.offsets(value, ids)])
+                    if with_decoded:
+                        decoded.append(codec.decode(ids))
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))]
+            arrays += [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] if with_offsets else []
+            return arrays + ([pa.array(decoded, pa.binary())] if with_decoded else [])
 
         return compute
 
