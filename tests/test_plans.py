@@ -5,11 +5,12 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 import frames
 from compare import differences, duck
 from courtside.operators import h2h, players, records
 from courtside.plans import jobs
+from courtside.plans.oracle import ORACLE_SQL
+from courtside.plans.registered import QUERIES
 from courtside.sources.derived import AS_OF as RUN_DAY, StarTables
 from frames import AS_OF, rows
 
@@ -36,29 +37,29 @@ def settings(spark, **changes):
 NO_BROADCAST = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops_and_no_python(spark, name):
-    shown = plan(driver.queries()[name](spark, SF_DIR))
+    shown = plan(QUERIES[name](spark, SF_DIR))
     for word in ("NestedLoop", "Cartesian", "Python", "Pandas", "Arrow"):
         assert word not in shown
 
 
 def test_dates_reach_the_scan_and_columns_are_pruned(spark):
-    shown = plan(driver.queries()["records_all"](spark, SF_DIR))
+    shown = plan(QUERIES["records_all"](spark, SF_DIR))
     scans = [line for line in shown.splitlines() if "FileScan" in line]
     assert scans and all("GreaterThanOrEqual(o_orderdate" in line for line in scans)
     assert all("o_totalprice" not in line for line in scans)
 
 
 def test_dedup_trims_before_the_shuffle(spark):
-    shown = plan(driver.queries()["fixtures_dedup_first"](spark, SF_DIR))
+    shown = plan(QUERIES["fixtures_dedup_first"](spark, SF_DIR))
     below_exchange = shown[shown.index("hashpartitioning(event_key"):]
     assert shown.count("WindowGroupLimit") == 2 and "WindowGroupLimit" in below_exchange
 
 
 def test_one_shuffle_for_pivot_and_pairs(spark):
     for name in ("odds_consensus", "h2h_pairs"):
-        assert plan(driver.queries()[name](spark, SF_DIR)).count("Exchange hashpartitioning") == 1
+        assert plan(QUERIES[name](spark, SF_DIR)).count("Exchange hashpartitioning") == 1
 
 
 def test_records_share_their_aggregation(spark):
@@ -71,9 +72,9 @@ def test_records_share_their_aggregation(spark):
 @pytest.mark.parametrize("name", ["match_mart", "records_by_surface", "history_merged", "fixtures_dedup_first", "tsv_rows"])
 def test_same_rows_without_broadcasts(spark, name):
     with settings(spark, **NO_BROADCAST):
-        df = driver.queries()[name](spark, SF_DIR)
+        df = QUERIES[name](spark, SF_DIR)
         assert "Broadcast" not in plan(df)
-        assert differences(df, duck(SF_DIR), driver.oracle_sql()[name]) is None
+        assert differences(df, duck(SF_DIR), ORACLE_SQL[name]) is None
 
 
 def hot_matches(spark, n=60_000):
