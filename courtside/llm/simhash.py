@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +197,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     return table.join(component_table(table), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def component_table(table: DataFrame) -> DataFrame:
-    """``fingerprint``, ``root`` and ``component_id`` for a table of doc_id and fingerprint."""
+def component_table(table: DataFrame, link: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
+    """``fingerprint``, ``root`` and ``component_id`` for a table of doc_id and fingerprint.
+    ``link`` gives the links between distinct fingerprints."""
     prints = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "prints")
-    linked = components(near_links(prints.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
+    linked = components(link(prints.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     rooted = prints.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # A shuffle of its own (grouped by more than the key), so that Spark can split a
@@ -215,7 +216,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     marked = with_fingerprints(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), words=words)
     marked = marked.select("row", "fingerprint")
     table = stored(marked.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fingerprint"), "fingerprints")
-    rooted = marked.join(component_table(table), "fingerprint").where(
+    return first_of_each(marked, component_table(table), doc_id, text)
+
+
+def first_of_each(marked: DataFrame, parts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The ``row`` to keep of each component, of rows with a fingerprint and the component table."""
+    rooted = marked.join(parts, "fingerprint").where(
         F.col("component_id").isNull() | (F.col(f"row.`{doc_id}`") == F.col("component_id")))
     from pyspark.sql import Window
 
