@@ -199,7 +199,7 @@ def run_manual(house: Warehouse, pulls: Landing, names: tuple[str, ...] = ("fixt
 def merge_history_days(spark: SparkSession, path: str, analysis: DataFrame, as_of: dt.date,
                        per_model: bool = False) -> list[dt.date]:
     """Merges the analysis into a history table partitioned by day. Where there is no
-    history yet, all bets of the analysis start it.
+    history yet, all bets of the analysis start it, those without a date under the null day.
 
     Every change falls on a day the analysis holds, so only those partitions are read
     and rewritten. The list of days is bounded by the calendar. Returns them.
@@ -212,7 +212,7 @@ def merge_history_days(spark: SparkSession, path: str, analysis: DataFrame, as_o
         touched = stored.filter(F.col(tables.DAY).isin(days)).select(*analysis.columns)
         merged = history.merge_history(touched, analysis, as_of, per_model)
     else:
-        merged = history.initial_history(analysis).filter("event_date is not null")
+        merged = history.initial_history(analysis)
     tables.overwrite_days(spark, path, merged, days)
     return days
 
