@@ -18,7 +18,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """``text`` and ``label`` of at most ``per_class`` documents of each label, the first ones
     by hash of the id. Ids are chosen from the small label table, with a bounded top-k; only
     the chosen documents' texts move. Null and contradictory labels do not count; of
-    repeated ids any one text serves."""
+    repeated ids one text serves, the first by hash. Repeats are combined before they move."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~is_held_out("doc_id"))
         .groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
@@ -28,7 +28,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # At most 2 * per_class ids and hashes: small by construction.
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"), "draw")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "draw").agg(
+        F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("first"))
+    return found.select("doc_id", "first.text", F.col("label").cast("int").alias("label"), "draw")
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
