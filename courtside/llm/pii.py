@@ -27,7 +27,9 @@ BASE = {
 }
 # Wider patterns for the candidates that labelers vote on.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
+    # The bare word "at" counts only where the address itself spells out a dot: else it is prose.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]| at (?= ?[A-Za-z0-9-]++(?: ?\. ?[A-Za-z0-9-]++)*+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]))"
+             r" ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)|00[1-9][0-9]|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -39,8 +41,8 @@ _HINTS = {
     "phone": lambda t: t.contains("+"),
 }
 _LOOSE_HINTS = {
-    "email": lambda t: (t.contains("@") | t.contains("at)") | t.contains("at]") | t.contains(" at ")) & (
-        t.contains("dot") | t.contains(".")) & (t.contains("@") | t.contains("dot")),
+    "email": lambda t: ((t.contains("@") | t.contains("(at)") | t.contains("[at]")) & t.contains(".")) | (
+        (t.contains("@") | t.contains("(at)") | t.contains("[at]") | t.contains(" at ")) & t.contains("dot")),
     "ip": lambda t: t.contains(":"), "card": lambda t: t.rlike("[0-9]"), "phone": lambda t: t.rlike("[0-9]{3}"),
     "secret": lambda t: t.contains("=") | t.contains(":"),
 }
