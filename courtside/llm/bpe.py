@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from courtside.llm.common import map_batches
@@ -26,12 +26,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def read_ranks(spark: SparkSession, path: str) -> bytes:
-    """The rank file, read by Spark from whatever storage it lies in; a vocabulary is a few MB."""
-    rows = spark.read.format("binaryFile").load(path).select("content").collect()
-    return rows[0].content
-
-
 class ByteBPE:
     """Encodes texts by a rank file (base64 token and rank per line).
 
@@ -41,23 +35,17 @@ class ByteBPE:
     table; a character split over tokens comes together again in the bytes.
     """
 
-    def __init__(self, ranks: bytes, pattern: str):
+    def __init__(self, ranks: bytes | tuple[dict, list], pattern: str):
         import regex
         from tokenizers import Tokenizer, models
 
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        rank = {base64.b64decode(token): int(number) for token, number in pairs}
-        self.token_bytes = {number: token for token, number in rank.items()}
+        vocabulary, merges = ranks if isinstance(ranks, tuple) else self.tables(ranks)
         self.char_of = byte_characters()
         self.byte_of = {c: b for b, c in enumerate(self.char_of)}
-        merges = []
-        for token, number in sorted(rank.items(), key=lambda x: x[1]):
-            parts = self._parts(token, number, rank) if len(token) > 1 else ()
-            if len(parts) == 2:
-                merges.append((self.visible(parts[0]), self.visible(parts[1])))
-        vocabulary = {self.visible(token): number for token, number in rank.items()}
         # Nothing is cut or normalised by the library: it gets pieces in visible characters.
         self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True, cache_capacity=0))
+        #: The bytes of each id: its visible characters through the reversed byte table.
+        self.token_bytes = {number: self.from_visible(token) for token, number in vocabulary.items()}
         self.find = regex.compile(pattern).findall
         self.pattern = regex.compile(pattern)
         # A space after a character that is no space always starts a new piece, and what
@@ -65,9 +53,27 @@ class ByteBPE:
         self.uneven = re.compile(r"\s ")
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @classmethod
+    def tables(cls, ranks: bytes) -> tuple[dict[str, int], list[tuple[str, str]]]:
+        """Vocabulary and merges in visible characters. Costs seconds: done once on the driver
+        and sent to the tasks; its size is that of the rank file, a few MB."""
+        pairs = (line.split() for line in ranks.splitlines() if line)
+        rank = {base64.b64decode(token): int(number) for token, number in pairs}
+        char_of = byte_characters()
+        visible = {token: "".join(map(char_of.__getitem__, token)) for token in rank}
+        merges = []
+        for token, number in sorted(rank.items(), key=lambda x: x[1]):
+            parts = cls._parts(token, number, rank) if len(token) > 1 else ()
+            if len(parts) == 2:
+                merges.append((visible[parts[0]], visible[parts[1]]))
+        return {visible[token]: number for token, number in rank.items()}, merges
+
     def visible(self, raw: bytes) -> str:
         return "".join(map(self.char_of.__getitem__, raw))
 
+    def from_visible(self, visible: str) -> bytes:
+        return bytes(map(self.byte_of.__getitem__, visible))
+
     @staticmethod
     def _parts(token: bytes, number: int, rank: dict[bytes, int]) -> list[bytes]:
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -129,7 +135,7 @@ class ByteBPE:
 
     def from_characters(self, visible: str) -> bytes:
         """The reverse of the byte table."""
-        return bytes(map(self.byte_of.__getitem__, visible))
+        return self.from_visible(visible)
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """For each id the code points it touches, end exclusive. Ids that share a split
@@ -150,7 +156,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = Fal
     points) and ``decoded`` (the bytes that the ids give back, in the same pass) to each row.
     A null text is empty and has no ids; rows keep their number and other columns; input
     columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(ByteBPE.tables(ranks))
     at = docs.columns.index(text)
     pair = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -182,7 +188,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, with_offsets: bool = Fal
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the bytes of ``ids``; null ids give empty bytes."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    shared = encoded.sparkSession.sparkContext.broadcast(ByteBPE.tables(ranks))
     at = encoded.columns.index(ids)
 
     def work():
@@ -197,7 +203,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
     ids joined by commas) and ``decoded_sha256`` (of the decoded bytes)."""
     import hashlib
 
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(ByteBPE.tables(ranks))
     at = docs.columns.index(text)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]

@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a pass inside a task works on at once; one longer document is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +51,49 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField]) -> DataFrame:
+def quoted(name: str) -> str:
+    """The column of exactly this name, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, text: str) -> DataFrame:
+    """``text`` and all other columns as one struct ``row`` with fields named by place: no name
+    of the input can clash with a column that is added, and the text is held once."""
+    others = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    return docs.select(F.struct(F.lit(True).alias("held"), *others).alias("row"), F.col(quoted(text)).alias("text"))
+
+
+def put_back(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` from what ``carried`` made of them, in their order."""
+    return rows.select(*[F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def field_of(docs: DataFrame, column: str) -> Column:
+    """A column of ``docs`` inside the struct of ``carried``."""
+    return F.col(f"row.c{docs.columns.index(column)}")
+
+
+def cut_batches(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive pieces of about ``limit`` bytes of its texts."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(size)
+    start = 0
+    while start < batch.num_rows:
+        before = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField],
+                limit: int = SLICE_BYTES) -> DataFrame:
     """Appends columns computed from Arrow batches. ``work()`` is called once per task and
     gives a function from a batch to one Arrow array per field. A column of the input
-    that has a new column's name is replaced, whatever its type."""
+    that has a new column's name is replaced, whatever its type. Batches are cut to about
+    ``limit`` bytes of text first, so a worker never holds a large one with all its output."""
     new = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in new]
     schema = T.StructType(kept + fields)
@@ -60,7 +101,7 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
-        for batch in batches:
+        for batch in chain.from_iterable(cut_batches(b, limit) for b in batches):
             arrays = compute(batch)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + arrays, [f.name for f in kept + fields])
 

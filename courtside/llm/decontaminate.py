@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.llm.common import map_batches, slices, text_bytes
+from courtside.llm.common import carried, cut_batches, lower_ascii, map_batches, put_back, quoted, slices, stored, text_bytes
 
 WINDOW = 10
 #: Text that one index covers; a longer document has an index of its own.
-SHARD_BYTES = 8 << 20
-#: Benchmark text searched per pass. A larger benchmark is searched in several passes.
-PASS_BYTES = 32 << 20
+SHARD_BYTES = 4 << 20
+#: Benchmark text and ids searched per pass. A larger benchmark is searched in several passes.
+PASS_BYTES = 4 << 20
+#: Words of a benchmark text that go together; a longer one is cut into overlapping parts.
+PIECE_WORDS = 50_000
 SAMPLE_RATE = 16
 
 # Words are runs of 0-9, a-z and everything beyond ASCII; A-Z is lower-cased first.
@@ -146,25 +150,32 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of some benchmark items: vocabulary, patterns by length, items of each."""
+    """The windows of some benchmark texts: vocabulary, patterns by length (one per line), and
+    per pattern the texts it occurs in, as a slice of one flat array. Picklable, compact."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
+    def __init__(self, texts: list[bytes], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+        by_size: dict[int, list] = defaultdict(list)
+        for number, text in enumerate(texts):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
             size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                owners[tuple(ids[at : at + size])].add(item)
+            if size:
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                by_size[size].append((windows, np.full(len(windows), number, np.int32)))
         self.groups = []
-        for size in sorted({len(p) for p in owners}):
-            patterns = [p for p in owners if len(p) == size]
-            self.groups.append((np.array(patterns, np.int64), [owners[p] for p in patterns]))
+        for size, parts in sorted(by_size.items()):
+            windows, owner = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((owner, *windows.T[::-1]))
+            windows, owner = windows[order], owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            self.groups.append((windows[first], np.append(first, len(order)), owner))
         self.shortest = min((g[0].shape[1] for g in self.groups), default=0)
 
 
 def find_in_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict[int, np.ndarray], dict[int, set]]:
-    """Words per text; for texts with an occurrence their hit words and items.
+    """Words per text; for texts with an occurrence their hit words and the numbers of the benchmark texts.
 
     The index covers the runs of benchmark words that are as long as the shortest phrase:
     no phrase can occur elsewhere.
@@ -193,7 +204,7 @@ def find_in_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict
     run_text = np.array([w[1] for w in where])
     run_word = np.array([w[2] for w in where])
     marks = np.zeros(size + 1, np.int64)
-    for patterns, owners in phrases.groups:
+    for patterns, cuts, owners in phrases.groups:
         low, high = index.search(patterns)
         found = np.flatnonzero(high > low)
         sizes = high[found] - low[found]
@@ -206,7 +217,7 @@ def find_in_shard(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict
         text = run_text[np.searchsorted(run_at, places, "right") - 1]
         pairs = np.unique(np.stack([text, pattern]), axis=1)
         for number, p in pairs.T.tolist():
-            items[number] |= owners[p]
+            items[number].update(owners[cuts[p] : cuts[p + 1]].tolist())
     hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
     run = np.searchsorted(run_at, hit, "right") - 1
     text, word = run_text[run], run_word[run] + hit - run_at[run]
@@ -232,18 +243,63 @@ def char_spans(text: bytes, words: np.ndarray) -> list[tuple[int, int]]:
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())),
-           T.StructField("hit_items", T.ArrayType(T.StringType()))]
-
-
-def _passes(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[list[tuple]]:
-    """The items in groups whose text is within the limit. Their sizes are summed by hash
-    first; only one group at a time is fetched, so the driver holds a bounded part."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+           T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(_SPAN))]
+
+
+def _pieces(benchmark: DataFrame, item_id: str, text: str, window: int, limit: int) -> DataFrame:
+    """``words`` (A-Z lower-cased, joined by spaces) and ``items`` (ids, as text): each distinct text
+    once, a long one in parts that overlap by a window less one word, its ids in lists of
+    about the limit's bytes at most. So no row is long, whatever text or id list repeats."""
+    lowered = lower_ascii(F.coalesce(F.col(quoted(text)), F.lit("")))
+    words = F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
+    rows = benchmark.select(F.col(quoted(item_id)).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    heavy = rows.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    lists = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-4 * heavy // limit))))
+    once = rows.groupBy("words", lists.alias("list")).agg(F.collect_set("item").alias("items"))
+    step = max(1, PIECE_WORDS - window + 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - window), F.lit(step))
+    return once.select("words", "items", F.explode(starts).alias("start")).select(
+        F.array_join(F.slice("words", F.col("start") + 1, F.lit(step + window - 1)), " ").alias("words"), "items")
+
+
+def _passes(benchmark: DataFrame, item_id: str, text: str, window: int, limit: int) -> Iterator[list[Row]]:
+    """The pieces in groups of about the limit's bytes, cut by hash; only one group at a time is
+    fetched, so the driver holds a bounded part."""
+    rows = _pieces(benchmark, item_id, text, window, limit)
+    size = F.octet_length("words") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 8)
+    total = rows.agg(F.sum(size)).first()[0] or 0
     parts = max(1, -(-total // limit))
+    rows = stored(rows, "phrases") if parts > 1 else rows
     for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
-        yield [(r.item, bytes(r.text)) for r in mine.collect()]
+        yield (rows.where(F.pmod(F.xxhash64("words", "items"), F.lit(parts)) == part) if parts > 1 else rows).collect()
+
+
+def _searcher(docs: DataFrame, pieces: list[Row], window: int, shard_bytes: int):
+    """The phrases of one pass, sent to all tasks; gives the broadcast and a function that
+    opens them in a task and then takes texts to (words, hit words, items) of each."""
+    phrases = Phrases([p.words.encode() for p in pieces], window)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((phrases, [p["items"] for p in pieces])))
+
+    def work():
+        phrases, items = pickle.loads(shared.value)
+
+        def search(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+            for start, end in slices(texts, shard_bytes):
+                counts, hits, owners = find_in_shard(texts[start:end], phrases)
+                for i, count in enumerate(counts):
+                    yield count, hits.get(i, _END[:0]), sorted({x for o in owners.get(i, ()) for x in items[o]})
+
+        return search
+
+    return shared, work
+
+
+def _spans(text: bytes, words: np.ndarray) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in char_spans(text, words)] if len(words) else []
+
+
+_ARROW = {"n_words": pa.int64(), "hit_words": pa.list_(pa.int32()), "hit_items": pa.list_(pa.string()),
+          "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id",
@@ -255,54 +311,67 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     A null or wordless text has no words and no hits; items without words have no
     windows; an item with a null id marks words but is not listed. Repeated items count
     once. Rows keep their number and their other columns; input columns with the names of
-    the new ones are replaced. No shuffle: each pass over the documents searches one
-    bounded part of the benchmark, sent to all tasks.
+    the new ones are replaced.
+
+    A benchmark within ``pass_bytes`` is sent to all tasks, and one pass over the documents does
+    all, without a shuffle. A larger one is cut into parts of that size. Each part is searched
+    by a job of its own, which stores only the hits, under numbers given to the rows; the hits
+    then meet the rows. So neither a worker nor the driver ever holds more than one part.
     """
-    spark = docs.sparkSession
-    clash = {"n_words", "hit_words", "hit_items", "spans"} - {text}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
+    clash = {f.lower() for f in _ARROW} - {text}
+    docs = docs.drop(*[quoted(c) for c in docs.columns if c.lower() in clash])
     source = docs.columns.index(text)
-    marked = docs
-    for items in _passes(benchmark, item_id, item_text, pass_bytes):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Phrases(items, window)))
-        held = marked.columns if marked is not docs else []
+    passes = _passes(benchmark, item_id, item_text, window, pass_bytes)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        _, search = _searcher(docs, first, window, shard_bytes)
 
-        def work(shared=shared, held=tuple(held)):
-            phrases = pickle.loads(shared.value)
+        def all_at_once():
+            run = search()
 
             def compute(batch: pa.RecordBatch) -> list[pa.Array]:
                 texts = text_bytes(batch.column(source))
-                earlier = [batch.column(held.index(n)).to_pylist() for n in ("hit_words", "hit_items")] if held else None
-                counts, words, names = [], [], []
-                for start, end in slices(texts, shard_bytes):
-                    found, hits, items_of = find_in_shard(texts[start:end], phrases)
-                    counts += found
-                    for i in range(end - start):
-                        mine, owners = hits.get(i, _END[:0]), {o for o in items_of.get(i, ()) if o is not None}
-                        if earlier:
-                            mine = np.union1d(mine, np.array(earlier[0][start + i], np.int64))
-                            owners |= set(earlier[1][start + i])
-                        words.append(mine.tolist())
-                        names.append(sorted(owners))
-                return [pa.array(counts, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                rows = [(n, w.tolist(), o, _spans(t, w)) for t, (n, w, o) in zip(texts, run(texts))]
+                return [pa.array(c, k) for c, k in zip(zip(*rows), _ARROW.values())]
 
             return compute
 
-        marked = map_batches(marked, work, _FIELDS)
-    at_words = marked.columns.index("hit_words")
-
-    def spans():
+        return map_batches(docs, all_at_once, _FIELDS, shard_bytes)
+
+    keyed = stored(carried(docs, text).withColumn("number", F.monotonically_increasing_id()), "keyed")
+    hits = None
+    for pieces in chain([first, second], passes):
+        shared, search = _searcher(docs, pieces, window, shard_bytes)
+
+        def only_hits(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            run = search()
+            for batch in chain.from_iterable(cut_batches(b, shard_bytes) for b in batches):
+                found = [(k, w.tolist(), o) for k, (_, w, o) in zip(batch.column(0).to_pylist(), run(text_bytes(batch.column(1)))) if len(w)]
+                kinds = pa.int64(), _ARROW["hit_words"], _ARROW["hit_items"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else ((),) * 3, kinds)],
+                                                 ["number", "hit_words", "hit_items"])
+
+        part = keyed.select("number", "text").mapInArrow(only_hits, "number long, hit_words array<int>, hit_items array<string>")
+        part = stored(part, "hits")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy("number").agg(*[
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "hit_items")])
+    rows = keyed.join(merged, "number", "left")
+    at = [rows.columns.index(c) for c in ("text", "hit_words", "hit_items")]
+
+    def finish():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            words = batch.column(at_words)
-            out = [[] for _ in range(batch.num_rows)]
-            for i in np.flatnonzero(np.asarray(words.value_lengths()) > 0).tolist():
-                raw = (batch.column(source)[i].as_py() or "").encode()
-                out[i] = [{"start": a, "end": b} for a, b in char_spans(raw, np.array(words[i].as_py()))]
-            return [pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            texts = text_bytes(batch.column(at[0]))
+            words, items = ([x or [] for x in batch.column(i).to_pylist()] for i in at[1:])
+            spans = [_spans(t, np.array(w, np.int64)) for t, w in zip(texts, words)]
+            return [pa.array(c, k) for c, k in zip(([len(words_of(t)) for t in texts], words, items, spans), _ARROW.values())]
 
         return compute
 
-    return map_batches(marked, spans, [T.StructField("spans", T.ArrayType(_SPAN))])
+    found = map_batches(rows, finish, _FIELDS)
+    new = [F.col(f.name) for f in _FIELDS]
+    return found.select(*[F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], *new)
 
 
 def remove_spans(docs: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
@@ -319,6 +388,4 @@ def remove_spans(docs: DataFrame, spans: str = "spans", text: str = "text") -> D
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without what they share with the benchmark; columns as given."""
-    found = find(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), benchmark, text="text", **options)
-    cut = remove_spans(found)
-    return cut.select(F.col("row").withField(text, F.col("text")).alias("row")).select("row.*")
+    return put_back(remove_spans(find(carried(docs, text), benchmark, text="text", **options)), docs, text)

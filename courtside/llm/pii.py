@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored
+from courtside.llm.common import carried, put_back, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -319,11 +319,10 @@ def mask(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     """The documents with every span replaced by its kind in brackets; spans that overlap become
     one, by the first one's kind. A null text stays null. Columns as given. The rows are stored
     once with their candidates: the fit reads the candidates, the masking both."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    found = stored(with_candidates(rows).select("row", "spans"), "candidates").withColumn("text", F.coalesce(F.col("row")[text], F.lit("")))
+    rows = carried(docs, text).select("row", F.col("text").isNull().alias("was_null"), F.coalesce("text", F.lit("")).alias("text"))
+    found = stored(with_candidates(rows).select("row", "was_null", "text", "spans"), "candidates")
     model = fit(found)
     found = found.withColumn("_cut", apart(accepted(model, threshold)))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     found = found.withColumn("_new", replaced("text", "_cut", lambda s: F.get(names, s["kind"])))
-    kept = F.when(F.col(f"row.`{text}`").isNotNull(), F.col("_new"))
-    return found.select(F.col("row").withField(text, kept).alias("row")).select("row.*")
+    return put_back(found.select("row", F.when(~F.col("was_null"), F.col("_new")).alias("text")), docs, text)

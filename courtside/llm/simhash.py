@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.llm.common import map_batches, stored, text_bytes
+from courtside.llm.common import carried, field_of, map_batches, put_back, stored, text_bytes
 
 SEED = 42
 #: Fingerprints link when they differ in at most this many bits. Two halves then suffice:
@@ -197,11 +197,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     return table.join(component_table(table), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def component_table(table: DataFrame, link: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
-    """``fingerprint``, ``root`` and ``component_id`` for a table of doc_id and fingerprint.
-    ``link`` gives the links between distinct fingerprints."""
+def component_table(table: DataFrame) -> DataFrame:
+    """``fingerprint``, ``root`` and ``component_id`` for a table of doc_id and fingerprint."""
     prints = stored(table.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "prints")
-    linked = components(link(prints.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
+    linked = components(near_links(prints.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     rooted = prints.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # A shuffle of its own (grouped by more than the key), so that Spark can split a
@@ -212,19 +211,15 @@ def component_table(table: DataFrame, link: Callable[[DataFrame], DataFrame] = n
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The documents with one row for each component: the one with the smallest id (a null id
-    only where there is no other), ties by text. Columns as given."""
-    marked = with_fingerprints(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), words=words)
-    marked = marked.select("row", "fingerprint")
-    table = stored(marked.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fingerprint"), "fingerprints")
-    return first_of_each(marked, component_table(table), doc_id, text)
-
-
-def first_of_each(marked: DataFrame, parts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The ``row`` to keep of each component, of rows with a fingerprint and the component table."""
-    rooted = marked.join(parts, "fingerprint").where(
-        F.col("component_id").isNull() | (F.col(f"row.`{doc_id}`") == F.col("component_id")))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("root").orderBy(F.col(f"row.`{doc_id}`").asc_nulls_last(), F.xxhash64(F.col(f"row.`{text}`")))
-    first = rooted.withColumn("place", F.row_number().over(order)).where("place = 1")
-    return first.select("row.*")
+    only where there is no other), ties by text; of equal rows one. Columns as given.
+
+    The rows are stored once with their fingerprint and a number of their own; components and
+    the choice work on numbers, and the texts move only to meet the chosen ones."""
+    marked = with_fingerprints(carried(docs, text), words=words)
+    marked = stored(marked.withColumn("number", F.monotonically_increasing_id()), "marked")
+    id_ = field_of(docs, doc_id)
+    table = marked.select("fingerprint", "number", id_.alias("doc_id"), F.xxhash64("text").alias("tie"))
+    parts = component_table(table).select("fingerprint", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "number"))
+    chosen = table.join(parts, "fingerprint").groupBy("root").agg(first.alias("first")).select("first.number")
+    return put_back(marked.join(chosen, "number", "left_semi"), docs, text)

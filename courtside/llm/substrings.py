@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import WHITE, hash_words, joined, map_batches, mix, slices, text_bytes
+from courtside.llm.common import WHITE, carried, field_of, hash_words, joined, map_batches, mix, put_back, slices, text_bytes
 
 WINDOW = 20
 #: Words of the shingle that a window is counted by in the sketch.
@@ -265,7 +265,7 @@ def digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: i
 def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
     """The documents with repeated words cut out and the rest joined by single spaces; texts
     without a repeat stay as they are. Columns as given."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = carried(docs, text).select("row", field_of(docs, doc_id).cast("long").alias("doc_id"), "text")
     rows = _marked(rows, window, anchor, cells)
     rows = rows.select("row", "text", "runs")
 
@@ -285,4 +285,4 @@ def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: i
     from pyspark.sql import types as T
 
     cut = map_batches(rows, work, [T.StructField("text", T.StringType())])
-    return cut.select(F.col("row").withField(text, F.col("text")).alias("row")).select("row.*")
+    return put_back(cut, docs, text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.llm.common import hash_words, joined, map_batches, mix, slices, text_bytes
+from courtside.llm.common import carried, hash_words, joined, map_batches, mix, put_back, slices, text_bytes
 from courtside.llm.linear import fit_in_task, training_sample
 
 DIMENSIONS = 1 << 20
@@ -125,5 +125,4 @@ def score(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS, text: str = "text") -> DataFrame:
     """The documents scored below the threshold; columns as given."""
     model = fit(docs, labels, per_class)
-    scored = score(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")), model)
-    return scored.where(F.col("score") < threshold).select("row.*")
+    return put_back(score(carried(docs, text), model).where(F.col("score") < threshold), docs, text)

@@ -50,7 +50,7 @@ def test_passes_and_shards_change_nothing(spark):
     want = sorted(decontaminate.find(docs, bench).select(*columns).collect())
     assert any(r.hit_words for r in want)
     assert sorted(decontaminate.find(docs, bench, pass_bytes=4000, shard_bytes=5000).select(*columns).collect()) == want
-    assert len(list(decontaminate._passes(bench, "item_id", "text", 4000))) > 2
+    assert len(list(decontaminate._passes(bench, "item_id", "text", 10, 4000))) > 2
 
 
 # ---- sketch -------------------------------------------------------------------------------
