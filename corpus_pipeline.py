@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import bpe, decontaminate, near, pii, toxicity
-from courtside.llm.common import read_table, stored
+from courtside.llm import bpe, decontaminate, pii, simhash, toxicity
+from courtside.llm.common import quoted, read_table, stored
 from courtside.llm.registered import vocabulary
 
 #: SimHash, span classifiers and tokenizers have no counterpart in SQL; the stages are tested
@@ -16,7 +16,8 @@ ORACLE_SQL = None
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Texts have changed: their length follows. Columns in their given order."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs
+    return docs.select(*map(quoted, columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (Jaccard of 5-word shingles of at least
-    0.8, joined by chains): the one with the smallest id."""
-    return near.keep_one(docs)
+    """Keeps one document of each group of near copies (SimHash of 3-word shingles, at most two
+    differing bits, joined by chains): the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
