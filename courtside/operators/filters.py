@@ -41,7 +41,7 @@ FILTER_COLUMNS = [
 def require_columns(df: DataFrame, columns: Sequence[str] = tuple(REQUIRED_COLUMNS)) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"the table lacks {missing}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
     return df
 
 
