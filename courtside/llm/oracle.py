@@ -86,6 +86,71 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sum({_escaped.format('text')} + case role when 'user' then 18 when 'assistant' then 4 else 9 + {_escaped.format('role')} end)::bigint as formatted_chars
 from rows group by conv_id"""
 
+# The lookup table of crc32 by its rule: each byte eight times through the reversed polynomial.
+_CRC = """crc_table as (
+    select list(c order by b) as t from (
+        select b, list_reduce(list_prepend(b, range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c
+        from (select unnest(range(256)) as b)))"""
+
+OP11 = f"""
+with recursive {_CRC},
+runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) as run from documents),
+counted as (select id, run, count(*) as n from runs group by all),
+hashed as (select run, n, length(run) as m,
+                  xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || x)::bigint for x in regexp_extract_all(hex(encode(id || ':' || run)), '..')]),
+                      lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) as h
+           from counted, crc_table),
+words as (select word, sum(n)::bigint as n
+          from (select case when h % 97 = 0 then substr(run, 1, (h % m)::bigint) || substr(run, (h % m)::bigint + 2) else run end as word, n from hashed)
+          where length(word) >= 5 group by word having sum(n) >= 3),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+holes as (select word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as less from places),
+near as (
+    select a.word, a.n, b.word as other, b.n as other_n from holes a join holes b on a.hole = b.hole and a.word <> b.word
+    union select h.word, h.n, w.word, w.n from holes h join words w on h.less = w.word
+    union select w.word, w.n, h.word, h.n from holes h join words w on h.less = w.word),
+best as (select word, count(*) as n_near, min({{'low': -other_n, 'form': other}}) as b from near group by word),
+forms as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -b.low >= 2 * w.n then b.form end as form,
+                 case when -b.low >= 2 * w.n then -b.low end as form_n from words w left join best using (word)),
+walk as (select word, word as root from forms
+         union all select walk.word, forms.form from walk join forms on walk.root = forms.word where forms.form is not null)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n::bigint as form_n from forms f join walk w using (word)
+where not exists (select 1 from forms g where g.word = w.root and g.form is not null)
+"""
+
+# At the sizes SQL is run at, all rows share one window, so the search is exact.
+OP12 = """
+with v as (select vec_id, embedding::double[] as e from embeddings
+           where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+usual as (select m from (select len(e) as m, count(*) as n from v group by 1) order by n desc, m desc limit 1),
+rows as (select distinct vec_id, e from v where len(e) = (select m from usual)),
+scored as (select a.vec_id as query_id, b.vec_id, list_reduce(list_prepend(0.0::double, list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])), lambda x, y: x + y) as score
+           from rows a join rows b on b.vec_id <> a.vec_id where a.vec_id % 20 = 0),
+placed as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, place::int as rank, vec_id, score from placed where place <= 20
+"""
+
+OP13 = f"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+listed as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from listed group by lang),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from listed),
+sized as (select lang, w, i, unnest([1, 2, 3, 4]) as k from starts),
+f as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as a from sized where i + k - 1 <= len(w) group by all having count(*) >= 30),
+split as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+cuts as (select *, unnest(range(1, k)) as c from split),
+scored as (select s.lang, s.k, s.phrase, s.a, s.c, l.a as l, r.a as r, ((2000000::hugeint * s.a) // (l.a + r.a))::bigint as score
+           from cuts s join f l on l.lang = s.lang and l.phrase = array_to_string(s.w[1 : s.c], ' ')
+                join f r on r.lang = s.lang and r.phrase = array_to_string(s.w[s.c + 1 : s.k], ' ')),
+lowest as (select lang, phrase, a, min({{'score': score, 'c': c, 'l': l, 'r': r}}) as m from scored group by all),
+spans as (select lang, w, k, a, unnest(range(1, k + 1)) as i from split where k > 2),
+wide as (select lang, w, k, a, i, unnest(range(i + 1, k + 1)) as j from spans),
+longer as (select lang, array_to_string(w[i : j], ' ') as phrase, max(a) as longer from wide where j - i + 1 < k group by all),
+kept as (select s.lang, s.phrase, s.a, m.score as score, m.l as l, m.r as r from lowest s left join longer using (lang, phrase) where longer is null or 100 * longer < 80 * s.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_reputation": OP1, "op2_decontamination": OP2, "op3_substring_dedup": OP3, "op10_chat": OP10,
-}
+    "op11_spelling_variants": OP11, "op12_nearest_neighbours": OP12, "op13_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import bpe, chat, decontaminate, pii, quality, simhash, substrings, syncmers, toxicity, urls
+from courtside.llm import bpe, chat, collocations, decontaminate, neighbours, pii, quality, simhash, spelling, substrings, syncmers, toxicity, urls
 from courtside.llm.common import read_table
 from courtside.llm.linear import is_held_out
 from courtside.llm.oracle import ORACLE_SQL as ORACLE_SQL
@@ -79,8 +79,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_probe(read_table(spark, sf_dir, "conversations")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_reputation, op2_decontamination, op3_substring_dedup, op4_byte_bpe, op5_syncmer_fingerprints,
-        op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_chat)
+        op6_simhash, op7_toxicity, op8_pii, op9_quality, op10_chat, op11_spelling_variants,
+        op12_nearest_neighbours, op13_collocations)
 }
