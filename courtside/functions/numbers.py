@@ -15,19 +15,22 @@ _NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def to_id(text: Column) -> Column:
     """Whole number from feed text, ``'2382.0'`` included; anything else is null."""
+    # Most texts are plain: only the others pay for decimals.
+    plain = F.when(text.rlike(r"^[+-]?[0-9]+\.0*$"), F.substring_index(text, ".", 1).try_cast("bigint"))
     number = text.try_cast("decimal(38,6)")
     whole = F.when(number == F.floor(number), number.try_cast("bigint"))
-    return F.coalesce(text.try_cast("bigint"), whole)
+    return F.coalesce(text.try_cast("bigint"), plain, whole)
 
 
 def to_odds(text: Column) -> Column:
     """A price from feed text; what is no number is null. A number that the table would cut
     or overflow fails the load."""
+    plain = text.rlike(r"^[0-9]{1,14}(\.[0-9]{1,10})?$")  # fits whatever its digits
     exact = text.try_cast("decimal(38,18)")
     stored = text.try_cast(ODDS)
     fits = F.coalesce(exact == stored, F.lit(False))
     refuse = F.raise_error(F.concat(F.lit("price does not fit: "), text)).cast(ODDS)
-    return F.when(fits, stored).when(F.trim(text).rlike(_NUMERIC_TEXT), refuse)
+    return F.when(plain, stored).when(fits, stored).when(F.trim(text).rlike(_NUMERIC_TEXT), refuse)
 
 
 def to_number(value: Column) -> Column:
