@@ -36,8 +36,13 @@ def export_table(df: DataFrame, columns: Sequence[str] = tuple(filters.TABLE_COL
     """Rows by tournament and time, which need not be among the columns shown."""
     keys = filters.present(df, EXPORT_ORDER)
     ordered = df.orderBy(*[F.asc_nulls_last(c) for c in keys + filters.present(df, TIE_BREAKERS)]) if keys else df
-    shown = ordered.select(*filters.present(df, columns))
-    return spanish_table(shown) if spanish else shown
+    return shown(ordered, columns, spanish)
+
+
+def shown(df: DataFrame, columns: Sequence[str] = tuple(filters.TABLE_COLUMNS), spanish: bool = True) -> DataFrame:
+    """The columns of the export in the rows' given order."""
+    kept = df.select(*filters.present(df, columns))
+    return spanish_table(kept) if spanish else kept
 
 
 def write_csv(table: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import labels
@@ -66,15 +66,19 @@ def filter_equals(df: DataFrame, column: str, value: object) -> DataFrame:
     return df if column not in df.columns or value == ALL else df.filter(F.col(column) == F.lit(value))
 
 
-def filter_flag(df: DataFrame, choice: str) -> DataFrame:
+def flag_mask(df: DataFrame, choice: str) -> Column:
     """Low (flag 1), Ok (flag 0) or All; a null flag is in neither of the first two."""
     wanted = {"Low": 1, "Ok": 0}.get(choice)
     if wanted is None or "flag_low_bet_value" not in df.columns:
-        return df
-    return df.filter(labels.flag_to_binary(F.col("flag_low_bet_value")) == wanted)
+        return F.lit(True)
+    return labels.flag_to_binary(F.col("flag_low_bet_value")) == wanted
 
 
-def filter_bets(df: DataFrame, choice: str) -> DataFrame:
+def filter_flag(df: DataFrame, choice: str) -> DataFrame:
+    return df.filter(flag_mask(df, choice))
+
+
+def bets_mask(df: DataFrame, choice: str) -> Column:
     """"Con apuesta": a pick in either model; "Sin apuesta": in none; else all rows.
     A null pick counts as a bet here."""
     picks = [c for c in ("jugador_a_apostar_cons", "jugador_a_apostar_vb") if c in df.columns]
@@ -82,8 +86,12 @@ def filter_bets(df: DataFrame, choice: str) -> DataFrame:
     for pick in picks:
         without = without & F.col(pick).eqNullSafe(labels.NO_BET)
     if choice == "Con apuesta":
-        return df.filter(~without) if picks else df.filter(F.lit(False))
-    return df.filter(without) if choice == "Sin apuesta" else df
+        return ~without if picks else F.lit(False)
+    return without if choice == "Sin apuesta" else F.lit(True)
+
+
+def filter_bets(df: DataFrame, choice: str) -> DataFrame:
+    return df.filter(bets_mask(df, choice))
 
 
 def present(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from courtside import schemas
 from courtside.functions import formats, labels, numbers
 from courtside.operators import (
-    constants, export, facets, filters, h2h, history, insights, mart, odds, players, records,
+    constants, export, facets, filters, h2h, history, insights, mart, odds, players, ranking,
+    records,
 )
 from courtside.plans import daily, jobs
 from courtside.sources import derived, landed, tables
@@ -45,11 +46,6 @@ def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.full_mart(_star(spark, sf_dir).match_tables(), AS_OF, _loaded_at())
 
 
-def _place(order: list[str], *within: str) -> Column:
-    """A row's place in the order; over a whole frame only where that is a short list."""
-    return F.row_number().over(Window.partitionBy(*within).orderBy(*[F.asc_nulls_last(c) for c in order]))
-
-
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label columns only: what the counts and choices read."""
     star = _star(spark, sf_dir)
@@ -132,9 +128,9 @@ def match_mart(spark, sf_dir):
 @_register
 def mart_in_order(spark, sf_dir):
     """The rows in order, each with its place within its day."""
-    place = _place(["event_time", *mart.TIE_BREAKERS], "event_date")
-    rows = _mart(spark, sf_dir).withColumn("place", place)
-    return mart.in_reading_order(rows).select("event_key", "event_date", "event_time", "p1_odds", "p2_odds", "place")
+    wide = _mart(spark, sf_dir).select("event_date", "event_time", *mart.TIE_BREAKERS, "p1_odds", "p2_odds")
+    rows = ranking.in_order(wide, "event_date", ["event_time", *mart.TIE_BREAKERS])
+    return rows.select("event_key", "event_date", "event_time", "p1_odds", "p2_odds", "place")
 
 
 @_register
@@ -177,6 +173,18 @@ def analysis_facet_tournaments(spark, sf_dir):
     return facets.analysis_facets(_analysis(spark, sf_dir), flag="Low")["tournament_name"]
 
 
+@_register
+def facet_lists(spark, sf_dir):
+    """All choices of the per-match view at once, each with its place in its list."""
+    return facets.match_choices(
+        _labelled(spark, sf_dir), event_types=["Singles"], genders=["Men"], tournaments=["Tournament#1", "Tournament#2", "Tournament#26"])
+
+
+@_register
+def analysis_facet_lists(spark, sf_dir):
+    return facets.analysis_choices(_analysis(spark, sf_dir), event_type="Singles", flag="Low")
+
+
 @_register
 def kpi_summary(spark, sf_dir):
     """Every row has a load time of its own."""
@@ -497,8 +505,9 @@ def sql_with_params(spark, sf_dir):
 @_register
 def export_spanish(spark, sf_dir):
     """With each row's place within its tournament."""
-    rows = _mart(spark, sf_dir).withColumn("place", _place(["event_time", *mart.TIE_BREAKERS], "tournament_name"))
-    return export.export_table(rows, ["event_key", *filters.TABLE_COLUMNS, "place"])
+    wide = _mart(spark, sf_dir).select("event_key", "first_player_key", "second_player_key", *filters.TABLE_COLUMNS)
+    rows = ranking.in_order(wide, "tournament_name", ["event_time", *mart.TIE_BREAKERS])
+    return export.shown(rows, ["event_key", *filters.TABLE_COLUMNS, "place"])
 
 
 @_register

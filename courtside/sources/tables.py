@@ -6,6 +6,7 @@ Parquet on shared storage. Nothing is deleted before its replacement is complete
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -233,12 +234,23 @@ def max_event_date(matches: DataFrame) -> DataFrame:
     return matches.agg(F.max("event_date").alias("max_event_date"))
 
 
+def newest_day(spark: SparkSession, path: str, schema: T.StructType) -> dt.date | None:
+    """The newest day that a stored history has a folder for: from the listing of its files,
+    no file is opened. Days staged but not yet published count."""
+    version, published = _staged_versions(spark, path)
+    found = re.findall(rf"/{DAY}=(\d+-\d\d-\d\d)/", "\n".join(read_or_empty(spark, path, _with_day(schema)).inputFiles()))
+    days = [dt.date.fromisoformat(max(found))] if found else []
+    if version > published:
+        days += [d for d in _staged(spark, path, version, schema).agg(F.max(DAY)).first() if d]
+    return max(days, default=None)
+
+
 def high_water(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The highest date text of a stored history, read from its newest day and the rows
     without a day alone. Days rule: of texts that name other days than their order
     suggests (unpadded ones) those of the newest day count. Should the newest day be
     empty, all days are read."""
-    newest = read_or_empty(spark, path, _with_day(schema)).agg(F.max(DAY)).first()[0]
+    newest = newest_day(spark, path, schema)
     table = read_days(spark, path, schema)
     top = max_event_date(table.filter(F.col(DAY).isNull() | (F.col(DAY) == F.lit(newest))))
     emptied = newest is None or table.filter(F.col(DAY) == F.lit(newest)).isEmpty()
