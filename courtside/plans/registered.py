@@ -432,6 +432,16 @@ def history_merged_stored(spark, sf_dir):
     return house.bet_history(star.history.schema).select(*star.history.columns)
 
 
+@_register
+def history_merged_bucketed(spark, sf_dir):
+    """H1, J9, J10: history and analysis in tables bucketed by the event; the merge leaves the
+    history's rows where they are."""
+    star, name = _star(spark, sf_dir), f"courtside_{uuid.uuid4().hex}"
+    hist = tables.write_bucketed(star.history, f"{name}_hist", history.KEYS, 8)
+    analysis = tables.write_bucketed(star.analysis, f"{name}_analysis", history.KEYS, 8)
+    return history.merge_in_place(hist, analysis, AS_OF)
+
+
 @_register
 def constants_log(spark, sf_dir):
     """K8: the stored log of all profiles after one more row, current values read back."""

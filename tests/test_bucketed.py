@@ -1,0 +1,43 @@
+"""The merge on bucketed tables: the plain merge's rows, without moving the history."""
+
+import datetime as dt
+import uuid
+from collections import Counter
+
+from courtside.operators import history
+from courtside.sources import tables
+from courtside.sources.derived import AS_OF, StarTables
+from pyspark.sql import functions as F
+
+
+def _bucketed(spark, rows):
+    return tables.write_bucketed(rows, f"courtside_{uuid.uuid4().hex}", history.KEYS, 4)
+
+
+def test_history_stays_in_its_buckets(spark):
+    star = StarTables(spark, "/root/testdata/sf0.001")
+    hist, analysis = _bucketed(spark, star.history), _bucketed(spark, star.analysis)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = history.merge_in_place(hist, analysis, AS_OF)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        got = Counter(map(tuple, merged.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("Final Plan")[-1]
+    assert got == Counter(map(tuple, history.merge_history(star.history, star.analysis, AS_OF).collect()))
+
+
+def test_awkward_rows(spark):
+    """Null dates and keys, repeated rows, dates that come anew, an empty analysis."""
+    star = StarTables(spark, "/root/testdata/sf0.001")
+    odd = star.history.limit(20).withColumn("event_date", F.lit(None).cast("string"))
+    hist = star.history.limit(300).unionByName(odd).unionByName(star.history.limit(5)).unionByName(
+        star.history.limit(4).withColumn("event_key", F.lit(None).cast("bigint")))
+    later = star.analysis.limit(50).withColumn("event_date", F.lit(str(AS_OF + dt.timedelta(days=2))))
+    for analysis in (star.analysis.unionByName(later), star.analysis.limit(0)):
+        a, b = hist.collect(), analysis.collect()
+        h, n = spark.createDataFrame(a, hist.schema), spark.createDataFrame(b, analysis.schema)
+        got = history.merge_in_place(_bucketed(spark, h), _bucketed(spark, n), AS_OF)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, history.merge_history(h, n, AS_OF).collect()))
