@@ -273,9 +273,9 @@ def variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN
     """
     words = stored(vocabulary(docs, min_length, min_count, garbled), "vocabulary")
     pairs = near_words(words, min_length, filter_words, pass_bytes)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b_n").alias("a_n"), F.col("a").alias("b"), F.col("a_n").alias("b_n")))
-    best = F.min(F.struct((-F.col("b_n")).alias("low"), F.col("b").alias("form"))).alias("best")
-    near = both.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), best)
+    one = lambda word, other, n: F.struct(F.col(word).alias("word"), (-F.col(n)).alias("low"), F.col(other).alias("form"))
+    both = pairs.select(F.inline(F.array(one("a", "b", "b_n"), one("b", "a", "a_n"))))  # the pairs are found once
+    near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct("low", "form")).alias("best"))
     has_form = -F.col("best.low") >= ratio * F.col("n")
     table = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
