@@ -50,6 +50,14 @@ _LOOSE_HINTS = {
 MAIL_ENDINGS = "com|org|net|edu|gov|de|fr|es|uk|io|info|example"
 DIAL_CODES = "1|7|20|30|31|32|33|34|39|41|43|44|45|46|47|48|49|52|55|61|81|82|86|90|91|351|353|358|420"
 CARD_PREFIXES = "4|5[1-5]|2[2-7]|3[47]|36|38|6011|65|62"
+NO_SECRETS = r"example|changeme|placeholder|dummy|sample|your|1234|abcd|([A-Za-z0-9])\1{5}"
+SECRET_FORMS = r"(?:sk|pk|ghp|gho|xox[abp])[_-].*|AKIA.*|eyJ.*|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}"
+# Words that announce a kind shortly before a span.
+CUES = {
+    "email": "mail|contact|write|reach", "ip": r"\bip\b|server|host|address|login|gateway", "card": "card|visa|master|amex|pay",
+    "phone": r"phone|call|\btel|mobile|fax|dial", "secret": "key|auth|cred|login|bearer",
+}
+CUE_CHARS = 24
 
 _BLOCK = 64
 
@@ -151,8 +159,10 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         before = F.substring(F.col(text), s["start"], F.lit(1))
         before = F.when(s["start"] == 0, "").otherwise(before)
         after = F.substring(F.col(text), s["end"] + 1, F.lit(1))
+        first = F.greatest(s["start"] - CUE_CHARS, F.lit(0))
+        lead = F.substring(F.col(text), first + 1, s["start"] - first)
         return s.withField("votes", F.array(_by_pattern(s), _by_gazetteer(s), _by_context(before, after))).withField(
-            "features", F.array(_shape(s["value"]), _side(before), _side(after)))
+            "features", F.array(_shape(s["value"]), _side(before), _side(after), _cue(s, lead)))
 
     return docs.withColumn("spans", F.when(F.size("_all") > 0, F.transform("_all", judged)).otherwise(F.array().cast(SPANS))).drop(
         "base", "_apart", "_rest", "_all", *[f"_{k}" for k in KINDS])
@@ -174,22 +184,25 @@ def _by_pattern(s: Column) -> Column:
     secret = F.regexp_extract(value, r"[A-Za-z0-9+/_-]+\z", 0)
     return _per_kind(s, {
         "email": value.rlike(r"\A[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\z"),
-        "ip": F.when(value.contains(":"), True).otherwise(holds("ip", value)),
+        # Eight groups of two decimal digits are times or serial numbers.
+        "ip": F.when(value.contains(":"), ~value.rlike(r"\A[0-9]{2}(?::[0-9]{2}){7}\z")).otherwise(holds("ip", value)),
         "card": holds("card", value),
         "phone": value.startswith("+") | value.rlike(r"\A\([0-9]{3}\)"),
-        "secret": (F.length(secret) >= 20) & secret.rlike("[0-9]") & secret.rlike("[A-Za-z]"),
+        "secret": (F.length(secret) >= 20) & secret.rlike("[0-9]") & secret.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(secret, ""))) >= 10),
     })
 
 
 def _by_gazetteer(s: Column) -> Column:
-    """Known endings, dial codes, card issuers, reserved networks, names of secrets."""
+    """Known endings, dial codes, card issuers, reserved networks, usual forms of secrets and of what
+    stands in for one."""
     value = s["value"]
+    secret = F.regexp_extract(value, r"[A-Za-z0-9+/_-]+\z", 0)
     return _per_kind(s, {
         "email": value.rlike(rf"(?i)(?:\.|dot[)\]]?) ?(?:{MAIL_ENDINGS})\z"),
-        "ip": ~value.rlike(r"\A0*(?:0|22[4-9]|2[3-9][0-9])\."),
+        "ip": ~value.rlike(r"(?i)\A(?:0*(?:0|22[4-9]|2[3-9][0-9])\.|fe80:|ff|2001:0?db8:|(?:0+:){7})"),
         "card": value.rlike(rf"\A(?:{CARD_PREFIXES})"),
         "phone": F.when(value.startswith("+"), value.rlike(rf"\A\+(?:{DIAL_CODES})[^0-9]")),
-        "secret": value.rlike("(?i)token|api|passw"),
+        "secret": F.when(secret.rlike(f"(?i){NO_SECRETS}"), False).when(secret.rlike(rf"\A(?:{SECRET_FORMS})\z"), True),
     })
 
 
@@ -207,6 +220,10 @@ def _shape(value: Column) -> Column:
     return length * 4 + share
 
 
+def _cue(s: Column, lead: Column) -> Column:
+    return F.coalesce(_per_kind(s, {kind: lead.rlike(f"(?i){words}") for kind, words in CUES.items()}), F.lit(0))
+
+
 def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
 
@@ -248,7 +265,9 @@ def estimate(counts: list[tuple], rounds: int = 100) -> dict[tuple, float]:
 
 
 class SpanClassifier:
-    """Naive Bayes over a span's features and the votes, learnt from the estimated labels."""
+    """Naive Bayes over a span's features, learnt from the estimated labels. The votes are not among
+    the features: they made the labels. A span's probability is the lower one of what its
+    features and what its votes say."""
 
     def __init__(self, counts: list[tuple]):
         belief = estimate(counts)
@@ -258,17 +277,18 @@ class SpanClassifier:
             b = belief[kind, votes]
             for z, weight in ((1, n * b), (0, n * (1 - b))):
                 total[kind, z] += weight
-                for name, value in [*enumerate(features), (3, votes)]:
+                for name, value in enumerate(features):
                     total[kind, name, value, z] += weight
                     seen[kind, name].add(value)
         self.odds: dict[tuple, float] = {}
         for kind, votes, features, n in counts:
             score = math.log((total[kind, 1] + 1) / (total[kind, 0] + 1))
-            for name, value in [*enumerate(features), (3, votes)]:
+            for name, value in enumerate(features):
                 room = len(seen[kind, name])
                 score += math.log((total[kind, name, value, 1] + 1) / (total[kind, 1] + room))
                 score -= math.log((total[kind, name, value, 0] + 1) / (total[kind, 0] + room))
-            self.odds[kind, votes, features] = score
+            b = min(max(belief[kind, votes], 1e-12), 1 - 1e-12)
+            self.odds[kind, votes, features] = min(score, math.log(b / (1 - b)))
 
     def table(self) -> dict[str, float]:
         """Probability by the text key of ``span_key``; bounded like the counts."""
@@ -278,7 +298,7 @@ class SpanClassifier:
 
 def span_key(s: Column) -> Column:
     votes = [F.coalesce(F.get(s["votes"], j).cast("string"), F.lit("-")) for j in range(3)]
-    return F.concat_ws("|", s["kind"].cast("string"), *votes, *[F.get(s["features"], j).cast("string") for j in range(3)])
+    return F.concat_ws("|", s["kind"].cast("string"), *votes, *[F.get(s["features"], j).cast("string") for j in range(4)])
 
 
 def fit(candidates: DataFrame) -> SpanClassifier:
@@ -288,10 +308,11 @@ def fit(candidates: DataFrame) -> SpanClassifier:
 
 def accepted(model: SpanClassifier, threshold: float = THRESHOLD) -> Column:
     """From ``spans``: base spans, and candidates that the classifier takes; of candidates that
-    overlap each other all stay."""
+    overlap each other all stay. No vote outweighs a card's check digit, which is the pattern's vote."""
     yes = sorted(key for key, p in model.table().items() if p >= threshold)
     table = F.array(*[F.lit(k) for k in yes]) if yes else F.array().cast("array<string>")
-    return F.filter("spans", lambda s: s["is_base"] | F.array_contains(table, span_key(s)))
+    checked = lambda s: (s["kind"] != KINDS.index("card")) | (F.get(s["votes"], F.lit(0)) == 1)
+    return F.filter("spans", lambda s: s["is_base"] | (checked(s) & F.array_contains(table, span_key(s))))
 
 
 def _listed(spans: Column) -> Column:
