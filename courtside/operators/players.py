@@ -44,11 +44,16 @@ def countable_matches(
         "event_key", "download_time", "first_player_key", "second_player_key",
         "event_winner", "tournament_key",
     )
+    return first_downloads(recent, players, keep)
+
+
+def first_downloads(matches: DataFrame, players: DataFrame, keep: str = "first") -> DataFrame:
+    """One download per event among those with a player of the universe."""
     known = players.select("player_id").dropna()
     first = known.select(F.col("player_id").alias("first_player_key"), F.lit(True).alias("first_known"))
     second = known.select(F.col("player_id").alias("second_player_key"), F.lit(True).alias("second_known"))
     member = (
-        recent.join(first, "first_player_key", "left")
+        matches.join(first, "first_player_key", "left")
         .join(second, "second_player_key", "left")
         .filter(F.col("first_known") | F.col("second_known"))
     )
@@ -56,19 +61,19 @@ def countable_matches(
     return keep_one(member, ["event_key"], "download_time", ties, keep)
 
 
-def player_match_rows(matches: DataFrame) -> DataFrame:
-    """One row per universe player of a counted match; a match of a player with
-    themselves gives one row."""
+def player_match_rows(matches: DataFrame, *more: str) -> DataFrame:
+    """One row per universe player of a counted match, with ``more`` columns of it; a match of
+    a player with themselves gives one row."""
     first, second = F.col("first_player_key"), F.col("second_player_key")
     sides = F.array_distinct(
         F.array_compact(F.array(F.when(F.col("first_known"), first), F.when(F.col("second_known"), second)))
     )
     rows = matches.select(
-        "event_key", "first_player_key", "second_player_key", "event_winner", "tournament_key",
+        "event_key", "first_player_key", "second_player_key", "event_winner", "tournament_key", *more,
         F.explode(sides).alias("player_id"),
     )
     return rows.select(
         "player_id", "event_key", "first_player_key", "second_player_key", "event_winner", "tournament_key",
         labels.player_position(F.col("player_id"), first, second).alias("player_position"),
-        labels.winner_key(F.col("event_winner"), first, second).alias("winner_key"),
+        labels.winner_key(F.col("event_winner"), first, second).alias("winner_key"), *more,
     )

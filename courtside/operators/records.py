@@ -14,11 +14,11 @@ def _count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def player_totals(player_rows: DataFrame) -> DataFrame:
-    """Counts per player and tournament. Both records are sums of these, so the dedup
+def player_totals(player_rows: DataFrame, *more: str) -> DataFrame:
+    """Counts per player and tournament (and ``more`` columns). Both records are sums of these, so the dedup
     and the big aggregation happen once and the plan reuses their exchange."""
     won = F.col("winner_key") == F.col("player_id")
-    return player_rows.groupBy("player_id", "tournament_key").agg(
+    return player_rows.groupBy("player_id", "tournament_key", *more).agg(
         F.count(F.lit(1)).alias("games"),
         _count_if(won).alias("wins"),
         _count_if(~won).alias("losses"),

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from courtside import schemas
-from courtside.operators import constants, h2h, history, records
-from courtside.plans import jobs
+from courtside.operators import constants, h2h, history, players, records
+from courtside.plans import jobs, rolling
 from courtside.sources import landed, tables
 from courtside.streaming import incremental
 
@@ -68,6 +68,15 @@ class Warehouse:
     def results(self) -> DataFrame:
         return tables.read_days(self.spark, self.path("fixtures_results"), schemas.FIXTURES_RESULTS)
 
+    def rolled_totals(self, as_of: dt.date) -> DataFrame:
+        """Counts per player and tournament, from sums that are kept per day: only days of the
+        history that are new or were replaced since the last run are read."""
+        path = self.path("fixtures_results")
+        kept = rolling.RolledRecords(self.spark, self.path("player_sums"))
+        changed, source = tables.changed_days(self.spark, path, kept.state().source)
+        kept.advance(self.results(), changed, as_of, source)
+        return kept.player_totals(players.player_universe(self.snapshot("fixtures_for_today").read()))
+
     def high_water(self) -> DataFrame:
         return tables.high_water(self.spark, self.path("fixtures_results"), schemas.FIXTURES_RESULTS)
 
@@ -109,12 +118,13 @@ def load_snapshot(house: Warehouse, name: str, rows: DataFrame, at=None) -> int:
     return house.snapshot(name).replace(stored, keep_if_empty=True)
 
 
-def refresh_tables(house: Warehouse, as_of: dt.date, at: dt.datetime | None = None) -> list[Step]:
-    """Records, head-to-head, mart, in this order."""
+def refresh_tables(house: Warehouse, as_of: dt.date, at: dt.datetime | None = None, rolled: bool = False) -> list[Step]:
+    """Records, head-to-head, mart, in this order. ``rolled`` takes the records from sums kept
+    per day; the rows are the same."""
 
     def build_records() -> int:
         sources = house.sources()
-        totals = jobs.player_totals(sources, as_of).persist()  # small, and summed twice
+        totals = (house.rolled_totals(as_of) if rolled else jobs.player_totals(sources, as_of)).persist()  # small, and summed twice
         try:
             by_surface = records.records_by_surface(totals, sources.tournaments, as_of)
             rows = house.snapshot("stg_players_results_by_sourface").replace(by_surface)
@@ -173,7 +183,7 @@ DAILY_TABLES = ["fixtures_results", "fixtures_for_today", "h2h_for_today2", "odd
 DIMENSIONS = ["tournaments", "standings"]
 
 
-def run_daily(house: Warehouse, pulls: Landing, utc_hour: int, at: dt.datetime | None = None) -> list[Step]:
+def run_daily(house: Warehouse, pulls: Landing, utc_hour: int, at: dt.datetime | None = None, rolled: bool = False) -> list[Step]:
     """The automatic refresh; does nothing when the data is up to date. Tournaments and
     standings are loaded on Mondays."""
     as_of = pulls.run_date
@@ -183,7 +193,7 @@ def run_daily(house: Warehouse, pulls: Landing, utc_hour: int, at: dt.datetime |
     history = (due.history_start, due.history_stop)
     names = DAILY_TABLES + (DIMENSIONS if due.refresh_dimensions else [])
     steps = [attempt(n, lambda n=n: load_table(house, pulls, n, history, due.odds_start, at)) for n in names]
-    return steps + refresh_tables(house, as_of, at)
+    return steps + refresh_tables(house, as_of, at, rolled)
 
 
 def run_manual(house: Warehouse, pulls: Landing, names: tuple[str, ...] = ("fixtures_for_today",),

@@ -16,7 +16,7 @@ from courtside.operators import (
     constants, export, facets, filters, h2h, history, insights, mart, odds, players, ranking,
     records,
 )
-from courtside.plans import daily, jobs
+from courtside.plans import daily, jobs, rolling
 from courtside.sources import derived, landed, tables
 from courtside.streaming import incremental
 
@@ -432,6 +432,33 @@ def history_merged_stored(spark, sf_dir):
     return house.bet_history(star.history.schema).select(*star.history.columns)
 
 
+def _rolled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Totals of AS_OF from kept sums of three days before: then the last ten days had only their
+    first downloads, and every 20th event of the month before lay one day earlier."""
+    star = _star(spark, sf_dir)
+    earlier, week = AS_OF - dt.timedelta(days=3), AS_OF - dt.timedelta(days=10)
+    day = F.col("event_day")
+    shifted = (F.col("event_key") % 20 == 0) & (day > week - dt.timedelta(days=30)) & (day <= week)
+    before = star.results.filter((day <= week) | (F.col("download_time") < F.timestamp_seconds(F.lit(895000000 + 2 * 86400))))
+    before = before.withColumn("event_day", F.when(shifted, F.date_sub(day, 1)).otherwise(day))
+    kept = rolling.RolledRecords(spark, _stored_at(spark))
+    kept.advance(before, [], earlier)
+    kept.advance(star.results, [AS_OF - dt.timedelta(days=i) for i in range(42)], AS_OF)
+    return kept.player_totals(players.player_universe(star.fixtures)), star.tournaments
+
+
+@_register
+def records_rolled(spark, sf_dir):
+    """A1 from sums that are kept per day and follow new, corrected and expired days."""
+    return records.records_by_surface(*_rolled(spark, sf_dir), AS_OF)
+
+
+@_register
+def records_all_rolled(spark, sf_dir):
+    """A2 from the same sums."""
+    return records.records_all(_rolled(spark, sf_dir)[0], AS_OF)
+
+
 @_register
 def history_merged_bucketed(spark, sf_dir):
     """H1, J9, J10: history and analysis in tables bucketed by the event; the merge leaves the

@@ -27,7 +27,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def _drop_folder(spark: SparkSession, path: str) -> bool:
+def drop_folder(spark: SparkSession, path: str) -> bool:
     """Deletes a folder on whatever storage it lies; false if there was none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -81,7 +81,7 @@ class VersionedTable:
         log = read_or_empty(self.spark, f"{self.path}/commits", self._LOG)
         newest = [r.version for r in log.select("version").distinct().orderBy(F.desc("version")).limit(keep).collect()]
         old = range(1, min(newest)) if len(newest) == keep else range(0)
-        return [v for v in old if _drop_folder(self.spark, self._data(v))]
+        return [v for v in old if drop_folder(self.spark, self._data(v))]
 
 
 DAY = "event_day"
@@ -121,6 +121,18 @@ def _staged_versions(spark: SparkSession, path: str) -> tuple[int, int]:
     return row.staged or 0, row.published or 0
 
 
+def changed_days(spark: SparkSession, path: str, since: int) -> tuple[list[dt.date], int]:
+    """The days that were replaced after the given staged version, and the newest version: from the
+    staged copies, which hold whole days and a marker for an emptied one. The list is bounded by the
+    calendar; days of unusable dates are left out."""
+    newest = _staged_versions(spark, path)[0]
+    if newest <= since:
+        return [], newest
+    copies = [f"{path}_staged/version={v}" for v in range(since + 1, newest + 1)]
+    days = spark.read.schema(f"{DAY} date").parquet(*copies).dropna().distinct().collect()
+    return sorted(r[DAY] for r in days), newest
+
+
 def _log_stage(spark: SparkSession, path: str, version: int, published: bool) -> None:
     entry = spark.createDataFrame([(version, published)], _STAGE_LOG)
     entry.coalesce(1).write.mode("append").parquet(f"{path}_staged/log")
