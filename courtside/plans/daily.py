@@ -7,6 +7,7 @@ a lost executor costs its tasks, not the run.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -113,34 +114,35 @@ def load_results(house: Warehouse, rows: DataFrame, start: dt.date, stop: dt.dat
 
 def load_snapshot(house: Warehouse, name: str, rows: DataFrame, at=None) -> int:
     """Full replace of a table; an empty pull leaves the old rows."""
-    # Rebalanced: a large response is parsed by one task, its rows are written by many.
-    stored = _stored(house.SNAPSHOTS[name], rows, at).hint("rebalance")
-    return house.snapshot(name).replace(stored, keep_if_empty=True)
+    return house.snapshot(name).replace(_stored(house.SNAPSHOTS[name], rows, at), keep_if_empty=True)
 
 
 def refresh_tables(house: Warehouse, as_of: dt.date, at: dt.datetime | None = None, rolled: bool = False) -> list[Step]:
     """Records, head-to-head, mart, in this order. ``rolled`` takes the records from sums kept
-    per day; the rows are the same."""
+    per day; the rows are the same. The sources do not change in between, so they are opened
+    (a history has a folder for every day) once."""
+    sources = functools.cache(house.sources)
 
     def build_records() -> int:
-        sources = house.sources()
-        totals = (house.rolled_totals(as_of) if rolled else jobs.player_totals(sources, as_of)).persist()  # small, and summed twice
+        totals = house.rolled_totals(as_of) if rolled else jobs.player_totals(sources(), as_of)
+        # Small, and summed twice by player: dealt by player, neither sum moves them again.
+        totals = totals.repartition("player_id").persist()
         try:
-            by_surface = records.records_by_surface(totals, sources.tournaments, as_of)
+            by_surface = records.records_by_surface(totals, sources().tournaments, as_of)
             rows = house.snapshot("stg_players_results_by_sourface").replace(by_surface)
             return rows + house.snapshot("stg_players_results_all").replace(records.records_all(totals, as_of))
         finally:
             totals.unpersist()
 
     def build_h2h() -> int:
-        pairs = h2h.h2h_pairs(house.sources().h2h)
+        pairs = h2h.h2h_pairs(sources().h2h)
         return house.snapshot("stg_h2h_for_today_processed").replace(pairs)
 
     def build_mart() -> int:
         stored = {n: house.snapshot(n).read() for n in (
             "stg_players_results_by_sourface", "stg_players_results_all", "stg_h2h_for_today_processed")}
         wide = jobs.build_mart(
-            house.sources(), stored["stg_players_results_by_sourface"], stored["stg_players_results_all"],
+            sources(), stored["stg_players_results_by_sourface"], stored["stg_players_results_all"],
             stored["stg_h2h_for_today_processed"], tables.default_now(at),
         )
         return house.snapshot("main_todays_games_details").replace(wide)
@@ -163,10 +165,12 @@ def load_table(house: Warehouse, pulls: Landing, name: str, history: tuple[dt.da
                odds_start: dt.date, at: dt.datetime | None = None) -> int | tuple[int, int]:
     """Loads one source table from its landed pull. Of head-to-head pulls the pairs that
     cannot be used are skipped and counted; any other odd response fails the load."""
+    # A large response is parsed by one task, its rows are written by many.
+    spread = lambda rows: rows.hint("rebalance")
     if name == "h2h_for_today2":
         pull, seen = pulls.read(name, on_bad="skip"), Observation()
         pull = pull.observe(seen, F.count_if(landed.bad_pair(pull)).alias("skipped"))
-        return load_snapshot(house, name, landed.flatten_h2h(pull, on_bad="skip"), at), seen.get["skipped"]
+        return load_snapshot(house, name, spread(landed.flatten_h2h(pull, on_bad="skip")), at), seen.get["skipped"]
     pull = pulls.read(name)
     if name == "fixtures_results":
         return load_results(house, landed.flatten_matches(pull), *history, at)
@@ -176,7 +180,7 @@ def load_table(house: Warehouse, pulls: Landing, name: str, history: tuple[dt.da
         "tournaments": lambda: landed.flatten_tournaments(pull),
         "standings": lambda: landed.flatten_standings(pull),
     }
-    return load_snapshot(house, name, flatten[name](), at)
+    return load_snapshot(house, name, spread(flatten[name]()), at)
 
 
 DAILY_TABLES = ["fixtures_results", "fixtures_for_today", "h2h_for_today2", "odds_for_today"]

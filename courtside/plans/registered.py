@@ -483,7 +483,7 @@ def daily_steps(spark, sf_dir):
     """I4: the steps of a refresh over stored tables, one that fails among them."""
     house, star = daily.Warehouse(spark, _stored_at(spark)), _star(spark, sf_dir)
     at = dt.datetime(1998, 5, 14, 9)
-    bounds = star.results.agg(F.to_date(F.min("event_date")), F.to_date(F.max("event_date"))).first()
+    bounds = star.results.agg(F.min("event_day"), F.max("event_day")).first()
     loads = {"fixtures_for_today": star.fixtures, "h2h_for_today2": star.h2h, "tournaments": star.tournaments,
              "standings": star.standings, "odds_for_today": star.odds}
     stored = lambda name, rows: daily.load_snapshot(house, name, _full(rows, house.SNAPSHOTS[name]), at)

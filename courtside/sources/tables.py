@@ -156,12 +156,11 @@ def publish_days(spark: SparkSession, path: str, schema: T.StructType) -> bool:
     return True
 
 
-def _switch_days(spark: SparkSession, path: str, rows: DataFrame, version: int) -> None:
-    """Replaces the days that the rows hold: staged, logged (from here on readers see
-    them), then published. A run that stops in between is completed by the next one."""
-    rows.write.mode("overwrite").parquet(f"{path}_staged/version={version}")
+def _switch_days(spark: SparkSession, path: str, schema: T.StructType, version: int) -> None:
+    """Replaces the days that a staged copy holds: logged (from here on readers see them), then
+    published. A run that stops in between is completed by the next one."""
     _log_stage(spark, path, version, False)
-    publish_days(spark, path, rows.schema)
+    publish_days(spark, path, schema)
 
 
 def _day_markers(spark: SparkSession, days: DataFrame, schema: T.StructType) -> DataFrame:
@@ -176,25 +175,27 @@ def replace_days(spark: SparkSession, path: str, rows: DataFrame, start: dt.date
 
     An empty load changes nothing. Rows the load has outside its own range are added to
     their days, as nothing of theirs was deleted; all of it shows at once. The load is
-    computed once, into the staging folder. Returns its rows.
+    computed and staged once; what the staged copy needs besides is added to it before it is
+    logged, and until then nobody reads it. Returns its rows.
     """
     schema = rows.schema
     publish_days(spark, path, schema)
     version = _staged_versions(spark, path)[0] + 1
-    landing = f"{path}_staged/load={version}"
-    rows.withColumn(DAY, F.to_date("event_date")).write.mode("overwrite").parquet(landing)
-    load = spark.read.schema(_with_day(schema)).parquet(landing)
+    copy = f"{path}_staged/version={version}"
+    rows.withColumn(DAY, F.to_date("event_date")).write.mode("overwrite").parquet(copy)
+    load = _staged(spark, path, version, schema)
     inside = F.coalesce(F.col(DAY).between(F.lit(start), F.lit(stop)), F.lit(False))
     counts = load.agg(F.count(F.lit(1)).alias("all"), F.count_if(~inside).alias("outside")).first()
     if not counts["all"]:
         return 0
     span = spark.range((stop - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"))
-    staged = load.unionByName(_day_markers(spark, span, load.schema))
+    added = _day_markers(spark, span.coalesce(1), load.schema)
     if counts["outside"]:
         others = load.filter(~inside).select(F.col(DAY).alias("day")).distinct()
         kept = read_days(spark, path, schema).join(others, F.col(DAY).eqNullSafe(F.col("day")), "left_semi")
-        staged = staged.unionByName(kept)
-    _switch_days(spark, path, staged, version)
+        added = added.unionByName(kept)
+    added.select(*load.columns).write.mode("append").parquet(copy)
+    _switch_days(spark, path, schema, version)
     return counts["all"]
 
 
@@ -204,7 +205,9 @@ def overwrite_days(spark: SparkSession, path: str, rows: DataFrame, days: Sequen
     listed = spark.createDataFrame([(d,) for d in days], "day date")
     rows = rows.withColumn(DAY, F.to_date("event_date"))
     version = _staged_versions(spark, path)[0] + 1
-    _switch_days(spark, path, rows.unionByName(_day_markers(spark, listed, rows.schema)), version)
+    staged = rows.unionByName(_day_markers(spark, listed, rows.schema))
+    staged.write.mode("overwrite").parquet(f"{path}_staged/version={version}")
+    _switch_days(spark, path, staged.schema, version)
 
 
 def replace_range(current: DataFrame, rows: DataFrame, start: dt.date, stop: dt.date) -> DataFrame:
